@@ -7,6 +7,8 @@ so that each branch of the rules is met. Both forms read whole tables.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,74 +170,83 @@ TAILS = (
 
 COUNTRIES = ("United States", "United States", "Canada", "United States", "United Kingdom", "United States", "Australia")
 
+_K, _CU = "o_orderkey", "o_custkey"
+SKILL_PICKS = (_K, f"{_K} * 5 + {_CU}", _CU, f"{_K} * 11 + {_CU} * 3", f"{_K} * 13", f"{_K} * 17 + {_CU} * 7")
+
+
+def sql_text(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+def _pick(values: tuple, index: str) -> Column:
+    # one expression text instead of a call to the JVM per list entry
+    return F.expr(f"get(array({', '.join(map(sql_text, values))}), CAST(({index}) % {len(values)} AS INT))")
+
 
-def _pick(values: tuple, index: Column) -> Column:
-    listed = F.array(*[F.lit(v).cast("string") for v in values])
-    return F.get(listed, (index % len(values)).cast("int"))
+def _link(key: str) -> Column:
+    return F.concat(F.lit(LINK), F.col(key).cast("string")).alias("job_link")
 
 
 class Adverts:
-    """The three tables as DataFrames."""
+    """The three tables as DataFrames, read when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        def table(name: str) -> DataFrame:
-            return spark.read.parquet(f"{folder}/{name}.parquet")
+        self._read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
 
-        k, c = F.col("o_orderkey"), F.col("o_custkey")
-        link = F.concat(F.lit(LINK), k.cast("string"))
+    @cached_property
+    def _orders(self) -> DataFrame:
+        return self._read("orders")
+
+    @cached_property
+    def postings(self) -> DataFrame:
         priority = F.col("o_orderpriority")
+        price = F.col("o_totalprice")
         day = F.col("o_orderdate").cast("date").cast("string")
-        orders = table("orders")
         columns = {
-            "job_link": link,
+            "job_link": _link("o_orderkey"),
             "last_processed_time": day,
             "got_summary": F.lit("t"),
             "got_ner": F.lit("t"),
             "is_being_worked": F.lit("f"),
-            "job_title": _pick(TITLES, k * 7 + c),
+            "job_title": _pick(TITLES, f"{_K} * 7 + {_CU}"),
             "company": F.when(priority == "1-URGENT", F.upper("c_name"))
             .when(priority == "5-LOW", F.concat(F.lit(" "), F.col("c_name"), F.lit(" ")))
             .otherwise(F.col("c_name")),
-            "job_location": _pick(LOCATIONS, k * 3 + c * 5),
-            "first_seen": F.when(F.col("o_totalprice") < 8000, F.lit("2024-13-45"))
-            .when(F.col("o_totalprice") > 495000, F.lit(None).cast("string"))
+            "job_location": _pick(LOCATIONS, f"{_K} * 3 + {_CU} * 5"),
+            "first_seen": F.when(price < 8000, F.lit("2024-13-45"))
+            .when(price > 495000, F.lit(None).cast("string"))
             .otherwise(day),
-            "search_city": F.substring_index(_pick(LOCATIONS, k * 3 + c * 5 + c % 3), ",", 1),
-            "search_country": _pick(COUNTRIES, F.col("c_nationkey")),
-            "search_position": _pick(TITLES, k),
+            "search_city": F.substring_index(_pick(LOCATIONS, f"{_K} * 3 + {_CU} * 5 + {_CU} % 3"), ",", 1),
+            "search_country": _pick(COUNTRIES, "c_nationkey"),
+            "search_position": _pick(TITLES, _K),
             "job_level": F.col("o_orderstatus"),
             "job_type": priority,
         }
-        joined = orders.join(table("customer"), c == F.col("c_custkey"))
-        self.postings = joined.select(*[columns[n].alias(n) for n in schemas.POSTINGS.names])
+        joined = self._orders.join(self._read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        return joined.select(*[columns[n].alias(n) for n in schemas.POSTINGS.names])
 
-        picks = [_pick(SKILLS, i) for i in (k, k * 5 + c, c, k * 11 + c * 3, k * 13, k * 17 + c * 7)]
+    @cached_property
+    def skills(self) -> DataFrame:
+        picks = [_pick(SKILLS, index) for index in SKILL_PICKS]
         text = F.concat(
             picks[0], F.lit(", "), picks[1], F.lit(","), picks[2], F.lit(", "), picks[3], F.lit(" , "), picks[4],
             F.lit(","), picks[5],
         )
         # adverts of the cheapest orders list no skills, those of the dearest an unknown list
-        self.skills = orders.filter(F.col("o_totalprice") >= 25000).select(
-            link.alias("job_link"), F.when(F.col("o_totalprice") <= 490000, text).alias("job_skills")
-        )
-
-        doc = F.col("doc_id")
-        self.summaries = table("documents").select(
-            F.concat(F.lit(LINK), doc.cast("string")).alias("job_link"),
-            F.concat(F.col("text"), _pick(TAILS, doc)).alias("job_summary"),
+        return self._orders.filter(F.col("o_totalprice") >= 25000).select(
+            _link("o_orderkey"), F.when(F.col("o_totalprice") <= 490000, text).alias("job_skills")
         )
 
-
-def sql_text(value: str | None) -> str:
-    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+    @cached_property
+    def summaries(self) -> DataFrame:
+        text = F.concat(F.col("text"), _pick(TAILS, "doc_id"))
+        return self._read("documents").select(_link("doc_id"), text.alias("job_summary"))
 
 
 def _sql_pick(values: tuple, index: str) -> str:
     return f"([{', '.join(map(sql_text, values))}])[CAST(({index}) % {len(values)} AS BIGINT) + 1]"
 
 
-_K, _CU = "o_orderkey", "o_custkey"
-
 ADVERTS_SQL = f"""
 postings AS (
   SELECT '{LINK}' || o_orderkey AS job_link,
@@ -255,9 +266,9 @@ postings AS (
 job_skills AS (
   SELECT '{LINK}' || o_orderkey AS job_link,
          CASE WHEN o_totalprice <= 490000 THEN
-           {_sql_pick(SKILLS, _K)} || ', ' || {_sql_pick(SKILLS, f'{_K} * 5 + {_CU}')} || ',' ||
-           {_sql_pick(SKILLS, _CU)} || ', ' || {_sql_pick(SKILLS, f'{_K} * 11 + {_CU} * 3')} || ' , ' ||
-           {_sql_pick(SKILLS, f'{_K} * 13')} || ',' || {_sql_pick(SKILLS, f'{_K} * 17 + {_CU} * 7')}
+           {_sql_pick(SKILLS, SKILL_PICKS[0])} || ', ' || {_sql_pick(SKILLS, SKILL_PICKS[1])} || ',' ||
+           {_sql_pick(SKILLS, SKILL_PICKS[2])} || ', ' || {_sql_pick(SKILLS, SKILL_PICKS[3])} || ' , ' ||
+           {_sql_pick(SKILLS, SKILL_PICKS[4])} || ',' || {_sql_pick(SKILLS, SKILL_PICKS[5])}
          END AS job_skills
   FROM orders WHERE o_totalprice >= 25000),
 job_summary AS (

@@ -13,7 +13,6 @@ from rolescope.functions import lookups as L
 from rolescope.functions import text as X
 from rolescope.functions.geo import DRAFT_LOOKUPS
 from rolescope.functions.numbers import pct_even
-from rolescope.functions.rules import classify_role
 from rolescope.operators import keys as K
 from rolescope.operators import profile as P
 from rolescope.operators import repeats as R
@@ -67,8 +66,8 @@ def combined(a: Adverts) -> DataFrame:
     return cohort.cohort_with_skills(a.postings, a.skills)
 
 
-def cleaned(a: Adverts) -> DataFrame:
-    return cleaning.clean_postings(combined(a))
+def roles(a: Adverts) -> DataFrame:
+    return cleaning.with_role(titled(a))
 
 
 def titled(a: Adverts) -> DataFrame:
@@ -316,7 +315,7 @@ def level_values(a):
 
 @on_adverts
 def completeness(a):
-    return quality.completeness_table(cleaned(a))
+    return quality.completeness_table(cleaning.with_attributes(combined(a)))
 
 
 # --- repeats and sensitivity ----------------------------------------------------------
@@ -383,8 +382,8 @@ def normalized_title_variety(a):
 
 
 def _roles(a: Adverts, version: str) -> DataFrame:
-    roles = cleaning.with_role(titled(a), version)
-    return P.rounded_distribution(roles, "role_category", "job_count").orderBy(F.desc("job_count"), "role_category")
+    classified = cleaning.with_role(titled(a), version)
+    return P.rounded_distribution(classified, "role_category", "job_count").orderBy(F.desc("job_count"), "role_category")
 
 
 @on_adverts
@@ -405,10 +404,8 @@ def role_final(a):
 @on_adverts
 def role_all_postings(a):
     """The final roles over every advert, in and out of the population."""
-    roles = a.postings.select(
-        classify_role(X.normalize_title(X.replace_nbsp("job_title"))).alias("role_category")
-    )
-    return P.value_counts(roles, "role_category")
+    classified = cleaning.with_role(cleaning.clean_titles(a.postings))
+    return P.value_counts(classified, "role_category")
 
 
 @on_adverts
@@ -434,7 +431,7 @@ def manager_abbreviation(a):
 
 @on_adverts
 def postings_export(a):
-    return cleaning.postings_export(cleaned(a))
+    return cleaning.postings_export(cleaning.clean_postings(combined(a)))
 
 
 # --- skills ---------------------------------------------------------------------------
@@ -464,17 +461,17 @@ def skills_export(a):
 
 @on_adverts
 def skill_share(a):
-    return sharing.skill_shares(cleaned(a), skills.skill_mart(combined(a)))
+    return sharing.skill_shares(roles(a), skills.skill_mart(combined(a)))
 
 
 @on_adverts
 def skill_share_unpivot(a):
-    return sharing.skill_share_view(cleaned(a), skills.skill_mart(combined(a)))
+    return sharing.skill_share_view(roles(a), skills.skill_mart(combined(a)))
 
 
 @on_adverts
 def role_groups(a):
-    return sharing.role_groups(cleaned(a))
+    return sharing.role_groups(roles(a))
 
 
 # --- geography ------------------------------------------------------------------------

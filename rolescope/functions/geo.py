@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lookups as L
-from .text import ColumnLike, as_col, has_word, last_segment
+from .text import ColumnLike, as_col, has_word, last_segment, let
 
 
 @dataclass(frozen=True)
@@ -42,17 +42,23 @@ def extract_state(
     country, metropolitan area. Names go in mapping order, so "West Virginia" gives VA;
     ``strict`` tries longer names first.
     """
-    location = as_col(location)
-    lower = F.lower(location)
-    last = last_segment(location)
     names = lookups.names
     if strict:
         names = dict(sorted(names.items(), key=lambda item: -len(item[0])))
     district, district_code = lookups.district
-    return F.coalesce(
-        F.when(last.isin(*lookups.codes), last),
-        first_named(lower, names),
-        F.when(lower.contains(district), district_code),
-        F.when(has_word(lower, *lookups.other_countries), L.NON_US),
-        first_named(lower, lookups.metros),
-    )
+
+    def by_code(last: Column) -> Column:
+        return F.when(last.isin(*lookups.codes), last)
+
+    def by_name(lower: Column) -> Column:
+        return F.coalesce(
+            first_named(lower, names),
+            F.when(lower.contains(district), district_code),
+            F.when(has_word(lower, *lookups.other_countries), L.NON_US),
+            first_named(lower, lookups.metros),
+        )
+
+    def state(text: Column) -> Column:
+        return F.coalesce(let(last_segment(text), by_code), let(F.lower(text), by_name))
+
+    return let(as_col(location), state)

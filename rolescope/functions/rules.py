@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lookups as L
-from .text import ColumnLike, any_of, as_col, contains_any, has_word
+from .text import ColumnLike, any_of, as_col, contains_any, has_word, let
 
 UNCATEGORIZED = "Other / Uncategorized"
 
@@ -69,12 +69,16 @@ ROLE_RULES = {
 
 def first_label(c: ColumnLike, rules: Sequence[Rule], otherwise: str | None = None) -> Column:
     """Label of the first rule that holds; ``otherwise`` (default NULL) when none does."""
-    c = as_col(c)
-    head, *tail = rules
-    label = F.when(head.test(c), head.label)
-    for rule in tail:
-        label = label.when(rule.test(c), rule.label)
-    return label if otherwise is None else label.otherwise(otherwise)
+
+    def label(text: Column) -> Column:
+        head, *tail = rules
+        case = F.when(head.test(text), head.label)
+        for rule in tail:
+            case = case.when(rule.test(text), rule.label)
+        return case if otherwise is None else case.otherwise(otherwise)
+
+    # A filter on the label would otherwise repeat the making of the text at every test.
+    return let(as_col(c), label)
 
 
 def classify_role(c: ColumnLike, version: str = "final") -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from operator import or_
 
@@ -29,6 +29,21 @@ def any_of(tests: Iterable[Column]) -> Column:
     return reduce(or_, tests)
 
 
+def holds(value: Column, test: Callable[[Column], Column]) -> Column:
+    """A test that mentions its value several times while the value is computed once.
+
+    In a filter Spark computes an expression at every mention, and it puts the definition
+    of a derived column in place of its name. A lambda variable is computed once: eight
+    phrase tests on long lower-cased text take two thirds of the time.
+    """
+    return F.exists(F.array(value), test)
+
+
+def let(value: Column, result: Callable[[Column], Column]) -> Column:
+    """Like ``holds`` for an expression of any type."""
+    return F.get(F.transform(F.array(value), result), F.lit(0))
+
+
 def strip_space(c: ColumnLike) -> Column:
     """Trim every kind of white space; ``trim`` alone strips blanks only."""
     return F.regexp_replace(as_col(c), _EDGE_SPACE, "")
@@ -87,13 +102,17 @@ def has_token(c: ColumnLike, token: str) -> Column:
 
 
 def contains_any(c: ColumnLike, phrases: Sequence[str]) -> Column:
-    """Case-sensitive substring test; pass a lower-cased column to ignore case."""
+    """Case-sensitive substring test."""
     c = as_col(c)
     return any_of(c.contains(p) for p in phrases)
 
 
 def contains_ci(c: ColumnLike, *phrases: str) -> Column:
-    return contains_any(F.lower(as_col(c)), phrases)
+    """Substring test ignoring case; the phrases are lower case."""
+    lower = F.lower(as_col(c))
+    if len(phrases) == 1:
+        return lower.contains(phrases[0])
+    return holds(lower, lambda t: contains_any(t, phrases))
 
 
 def excludes_ci(c: ColumnLike, *phrases: str) -> Column:
@@ -107,7 +126,7 @@ def like_ci(c: ColumnLike, pattern: str) -> Column:
 
 def has_any_phrase(cols: Sequence[ColumnLike], phrases: Sequence[str]) -> Column:
     """1 when a phrase occurs in one of the columns, else 0."""
-    return any_of(contains_any(F.lower(or_empty(c)), phrases) for c in cols).cast("int")
+    return any_of(contains_ci(or_empty(c), *phrases) for c in cols).cast("int")
 
 
 def has_word(c: ColumnLike, *words: str) -> Column:

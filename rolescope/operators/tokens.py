@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lookups import ANCHOR_SKILLS
-from ..functions.text import ColumnLike, as_col, contains_any, strip_space
+from ..functions.text import ColumnLike, as_col, contains_any, contains_ci, holds, strip_space
 from .totals import with_share
 
 
@@ -40,14 +40,18 @@ def explode_list(
 
 def lists_mentioning(df: DataFrame, col: str, phrases: Sequence[str]) -> DataFrame:
     """Rows whose whole list contains a phrase: the cheap test to make before splitting."""
-    return df.filter(contains_any(F.lower(F.col(col)), phrases))
+    return df.filter(contains_ci(col, *phrases))
 
 
 def has_term(c: ColumnLike, terms: Sequence[str], sep: str = ",", unicode_space: bool = False) -> Column:
     """One of the (lower-case) terms is a whole token of the list. Needs no explode."""
-    lower = F.lower(as_col(c))
-    tokens = split_list(lower, sep, unicode_space)
-    return contains_any(lower, terms) & F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in terms]))
+    wanted = F.array(*[F.lit(t) for t in terms])
+
+    def listed(lower: Column) -> Column:
+        # most lists fail the substring test and are never split
+        return contains_any(lower, terms) & F.arrays_overlap(split_list(lower, sep, unicode_space), wanted)
+
+    return holds(F.lower(as_col(c)), listed)
 
 
 def term_counts(tokens: DataFrame, term: str = "skill_term", key: str = "job_link", n: str = "job_count"):

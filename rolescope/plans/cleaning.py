@@ -32,17 +32,20 @@ def with_state(located: DataFrame, lookups: StateLookups = FULL_LOOKUPS, strict:
     )
 
 
-def clean_postings(
+def with_attributes(
     combined: DataFrame,
     version: str = "final",
     lookups: StateLookups = FULL_LOOKUPS,
     strict_state: bool = False,
-    strict_dates: bool = False,
 ) -> DataFrame:
+    """Mended titles, roles and states: all that is decided row by row."""
+    return with_state(with_role(clean_titles(combined), version), lookups, strict_state)
+
+
+def clean_postings(combined: DataFrame, strict_dates: bool = False, **options) -> DataFrame:
     """The whole cleaning. Reposts are flagged on the titles as they came, before mending."""
-    flagged = flag_repeats(combined)
-    dated = flagged.withColumn("first_seen", safe_date("first_seen", strict_dates))
-    return with_state(with_role(clean_titles(dated), version), lookups, strict_state)
+    dated = flag_repeats(combined).withColumn("first_seen", safe_date("first_seen", strict_dates))
+    return with_attributes(dated, **options)
 
 
 def postings_export(cleaned: DataFrame) -> DataFrame:

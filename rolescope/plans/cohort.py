@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
-from ..functions.text import contains_any, contains_ci, or_empty
+from ..functions.text import contains_any, contains_ci, holds, or_empty
 from ..operators.keys import KEY, enrich, restrict
 from ..operators.tokens import has_term
 
@@ -30,17 +30,26 @@ STANDARD = CohortSpec()
 CLEANING = CohortSpec(title_exclusions=(), unicode_space=True)
 
 
+def _explicit(title: Column, spec: CohortSpec) -> Column:
+    hit = contains_any(title, spec.title_phrases)
+    return hit & ~contains_any(title, spec.title_exclusions) if spec.title_exclusions else hit
+
+
 def title_test(title, spec: CohortSpec = STANDARD) -> Column:
     """The explicit title rule. A NULL title does not pass."""
-    lower = F.lower(or_empty(title))
-    hit = contains_any(lower, spec.title_phrases)
-    return hit & ~contains_any(lower, spec.title_exclusions) if spec.title_exclusions else hit
+    return holds(F.lower(or_empty(title)), lambda t: _explicit(t, spec))
 
 
 def family_test(title, spec: CohortSpec = STANDARD) -> Column:
+    """The related title families."""
     return contains_ci(or_empty(title), *spec.family_phrases)
 
 
+def any_title_test(title, spec: CohortSpec = STANDARD) -> Column:
+    """Either title rule."""
+    return holds(F.lower(or_empty(title)), lambda t: _explicit(t, spec) | contains_any(t, spec.family_phrases))
+
+
 def skill_test(skills, spec: CohortSpec = STANDARD) -> Column:
     return has_term(skills, spec.anchor_terms, unicode_space=spec.unicode_space)
 
@@ -55,7 +64,7 @@ def cohort_members(postings: DataFrame, skills: DataFrame, spec: CohortSpec = ST
 
     Both title rules are tested in one pass. Good for semi joins, which need no distinct.
     """
-    titled = postings.filter(title_test("job_title", spec) | family_test("job_title", spec)).select(KEY)
+    titled = postings.filter(any_title_test("job_title", spec)).select(KEY)
     return skill_confirmed(skills, spec).unionByName(titled)
 
 

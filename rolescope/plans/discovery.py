@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..functions.rules import title_family
 from ..functions.text import (
-    contains_any, contains_ci, excludes_ci, has_any_phrase, has_token, like_ci, punct_to_space, text_preview,
+    contains_any, excludes_ci, has_any_phrase, has_token, like_ci, punct_to_space, text_preview,
 )
 from ..operators.keys import KEY, enrich, exclude, overlap_audit
 from ..operators.profile import rate, value_counts
@@ -16,7 +16,7 @@ from ..operators.sample import sample_per_group
 from ..operators.tokens import broad_only, compare_definitions, explode_list, lists_mentioning, term_counts
 from ..operators.totals import top
 from ..sources.files import preview
-from .cohort import skill_confirmed
+from .cohort import skill_confirmed, title_test
 
 TOPIC = "business analy"
 
@@ -54,7 +54,7 @@ def broad_only_terms(skills: DataFrame, n: int = 100) -> DataFrame:
 
 
 def title_overlap(postings: DataFrame, skills: DataFrame) -> DataFrame:
-    titled = postings.filter(contains_ci("job_title", *L.TITLE_PHRASES) & excludes_ci("job_title", *L.TITLE_EXCLUSIONS))
+    titled = postings.filter(title_test("job_title"))
     return overlap_audit(
         titled,
         skill_confirmed(skills),
@@ -68,7 +68,7 @@ def _titles(rows: DataFrame, n: int) -> DataFrame:
 
 def missed_titles(postings: DataFrame, skills: DataFrame, n: int = 100) -> DataFrame:
     """Titles under the title rule whose adverts have no anchor skill."""
-    titled = postings.filter(contains_ci("job_title", *L.TITLE_PHRASES) & excludes_ci("job_title", *L.TITLE_EXCLUSIONS))
+    titled = postings.filter(title_test("job_title"))
     return _titles(exclude(titled, skill_confirmed(skills)), n)
 
 

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..functions.rules import role_group, skill_group
 from ..operators.keys import KEY
-from ..operators.profile import conditional_share
+from ..operators.profile import conditional_share, count_where
 from ..operators.reshape import measures_to_rows
-from ..operators.totals import rows_of
 
 # measure -> displayed name
 MEASURES = {
@@ -42,13 +41,11 @@ def skill_shares(
     """
     core = F.col("role_category") == L.CORE_ROLE
     other = F.col("role_category") != L.CORE_ROLE
-    if bases is None:
-        bases = {
-            "all_share": rows_of(postings_final),
-            "core_share": rows_of(postings_final.filter(core)),
-            "other_share": rows_of(postings_final.filter(other)),
-        }
     tests = {"all_share": F.lit(True), "core_share": core, "other_share": other}
+    if bases is None:
+        # one pass for the three sizes; Spark runs the repeated subquery once
+        sizes = postings_final.agg(F.struct(*[count_where(t).alias(m) for m, t in tests.items()])).scalar()
+        bases = {m: sizes[m] for m in tests}
     chosen = advert_skills(postings_final, skills_final).filter(F.col("job_skills_normalized").isin(*skills))
     shares = conditional_share(
         chosen, "job_skills_normalized", KEY, {m: (tests[m], bases[m]) for m in MEASURES}

@@ -572,3 +572,4 @@ FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1"""
         for s, label in (("F", "finished"), ("O", "open"), ("P", "partial"))
     ),
 }
+ORACLES["handoff_from_saved_keys"] = ORACLES["handoff_table"]

@@ -24,6 +24,7 @@ from rolescope.plans import (
     cleaning, cohort, discovery, geography, handoff, quality, sensitivity, sharing, skills,
 )
 from rolescope.sources.files import loaded_rows, preview
+from rolescope.sources.tables import session_table
 
 from .adverts import Adverts
 
@@ -369,6 +370,13 @@ def handoff_table(a):
     return handoff.handoff_table(a.postings, a.skills, a.summaries)
 
 
+@on_adverts
+def handoff_from_saved_keys(a):
+    """The same table from a population written to the shared folder first."""
+    keys = session_table(cohort.cohort_in_country(a.postings, a.skills), "us_cohort_keys")
+    return handoff.handoff_table(a.postings, a.skills, a.summaries, keys=keys)
+
+
 @on_adverts
 def title_normalized(a):
     return titled(a).select("job_link", "job_title", "job_title_normalized")

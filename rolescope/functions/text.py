@@ -14,9 +14,11 @@ from .lookups import TITLE_WORD_RULES
 
 NBSP = "\u00a0"
 BROKEN_DASH = "â€"
-# White space as str.strip() sees it: the Unicode property plus the four separators it leaves out.
-_SPACE = r"[\s\x1c-\x1f]"
-_EDGE_SPACE = rf"(?U)^{_SPACE}+|{_SPACE}+$"
+# What str.strip() takes for white space, besides the blank.
+_OTHER_SPACE = (
+    r"\t\n\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_EDGES = f"^[ {_OTHER_SPACE}]+|[ {_OTHER_SPACE}]+$"
 
 ColumnLike = Column | str
 
@@ -44,9 +46,19 @@ def let(value: Column, result: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), result), F.lit(0))
 
 
+def may_have_other_space(c: ColumnLike) -> Column:
+    """False only when blanks are the only white space: plain ASCII without control characters."""
+    c = as_col(c)
+    return (F.octet_length(c) != F.char_length(c)) | c.rlike(r"[\x09-\x0d\x1c-\x1f]")
+
+
 def strip_space(c: ColumnLike) -> Column:
     """Trim every kind of white space; ``trim`` alone strips blanks only."""
-    return F.regexp_replace(as_col(c), _EDGE_SPACE, "")
+    def strip(t: Column) -> Column:
+        # most texts are spared the slower replacement
+        return F.when(may_have_other_space(t), F.regexp_replace(t, _EDGES, "")).otherwise(F.trim(t))
+
+    return let(as_col(c), strip)
 
 
 def trim_text(c: ColumnLike, unicode_space: bool = False) -> Column:
@@ -151,7 +163,7 @@ def normalize_title(c: ColumnLike, word_rules: Sequence[tuple[str, str]] = TITLE
     title = F.translate(F.lower(as_col(c)), ".,", "")
     for pattern, word in word_rules:
         title = F.regexp_replace(title, unicode_regex(pattern), word)
-    return F.regexp_replace(strip_space(title), rf"(?U){_SPACE}+", " ")
+    return F.trim(F.regexp_replace(title, f"[ {_OTHER_SPACE}]+", " "))
 
 
 def fold(c: ColumnLike) -> Column:

@@ -28,22 +28,27 @@ def subtract_keys(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def restrict(df: DataFrame, keys: DataFrame, key: str = KEY) -> DataFrame:
-    """Rows whose key is in the set. The set may repeat keys."""
-    return df.join(keys.select(key), key, "left_semi")
+    """Rows whose key is in the set; the set may repeat keys."""
+    # The distinct shuffles by the join key, so it adds no exchange, and combines a key
+    # that repeats without end before it could fill one task of the join.
+    return df.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def exclude(df: DataFrame, keys: DataFrame, key: str = KEY) -> DataFrame:
     """Rows whose key is not in the set; a NULL key is in no set."""
-    return df.join(keys.select(key), key, "left_anti")
+    return df.join(keys.select(key).distinct(), key, "left_anti")
 
 
-def enrich(base: DataFrame, right: DataFrame, key: str = KEY) -> DataFrame:
-    """Left outer join that first drops the right rows no key asks for.
+def enrich(base: DataFrame, right: DataFrame, key: str = KEY, within: DataFrame | None = None) -> DataFrame:
+    """Left outer join; a repeated right key repeats the base row.
 
-    The reduced side is what gets shuffled, which matters when it holds long text and
-    the base is a small population. A repeated right key repeats the base row.
+    ``within`` is a key set that covers the base. A stored one has a known size: if it is
+    small Spark sends it to the scan of the right side, and texts nobody asks for are
+    dropped there instead of being shuffled.
     """
-    return base.join(restrict(right, base, key), key, "left")
+    if within is not None:
+        right = restrict(right, within, key)
+    return base.join(right, key, "left")
 
 
 def overlap_audit(

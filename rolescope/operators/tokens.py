@@ -9,17 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lookups import ANCHOR_SKILLS
-from ..functions.text import ColumnLike, as_col, contains_any, contains_ci, holds, strip_space
+from ..functions.text import ColumnLike, as_col, contains_any, contains_ci, may_have_other_space, holds, trim_text
+from .keys import exclude
 from .totals import with_share
 
 
+def _pieces(c: Column, sep: str) -> Column:
+    return F.split(c, re.escape(sep))
+
+
 def split_list(c: ColumnLike, sep: str = ",", unicode_space: bool = False) -> Column:
     """Array of trimmed tokens; empty tokens stay, a NULL list is NULL."""
-    sep = re.escape(sep)
-    if unicode_space:
-        space = r"[\s\x1c-\x1f]*"
-        return F.split(strip_space(c), f"(?U){space}{sep}{space}")
-    return F.split(F.trim(as_col(c)), f" *{sep} *")
+    return F.transform(_pieces(as_col(c), sep), lambda piece: trim_text(piece, unicode_space))
 
 
 def explode_list(
@@ -34,7 +35,11 @@ def explode_list(
 ) -> DataFrame:
     """One row per token with the ``keep`` columns only, so wide columns are not repeated."""
     text = F.lower(F.col(col)) if fold_case else F.col(col)
-    rows = df.select(*keep, F.explode(split_list(text, sep, unicode_space)).alias(out))
+    pieces = _pieces(text, sep)
+    if unicode_space:
+        # decided once per list: few lists hold white space that trim() below would leave
+        pieces = F.when(may_have_other_space(text), split_list(text, sep, True)).otherwise(pieces)
+    rows = df.select(*keep, F.explode(pieces).alias(out)).withColumn(out, F.trim(out))
     return rows.filter(F.col(out) != "") if drop_empty else rows
 
 
@@ -45,11 +50,11 @@ def lists_mentioning(df: DataFrame, col: str, phrases: Sequence[str]) -> DataFra
 
 def has_term(c: ColumnLike, terms: Sequence[str], sep: str = ",", unicode_space: bool = False) -> Column:
     """One of the (lower-case) terms is a whole token of the list. Needs no explode."""
-    wanted = F.array(*[F.lit(t) for t in terms])
 
     def listed(lower: Column) -> Column:
         # most lists fail the substring test and are never split
-        return contains_any(lower, terms) & F.arrays_overlap(split_list(lower, sep, unicode_space), wanted)
+        token = lambda piece: trim_text(piece, unicode_space).isin(*terms)
+        return contains_any(lower, terms) & F.exists(_pieces(lower, sep), token)
 
     return holds(F.lower(as_col(c)), listed)
 
@@ -88,8 +93,8 @@ def broad_only(
     key: str = "job_link",
 ) -> DataFrame:
     """Tokens meeting the broad test, of keys that have none of the exact terms."""
-    confirmed = tokens.filter(F.col(term).isin(*exact)).select(key)
-    return tokens.filter(broad(F.col(term))).select(key, term).join(confirmed, key, "left_anti")
+    confirmed = tokens.filter(F.col(term).isin(*exact))
+    return exclude(tokens.filter(broad(F.col(term))).select(key, term), confirmed, key)
 
 
 def complementary_counts(

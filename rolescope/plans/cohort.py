@@ -11,6 +11,7 @@ from ..functions import lookups as L
 from ..functions.text import contains_any, contains_ci, holds, or_empty
 from ..operators.keys import KEY, enrich, restrict
 from ..operators.tokens import has_term
+from ..sources.tables import write_parquet
 
 
 @dataclass(frozen=True)
@@ -60,10 +61,7 @@ def skill_confirmed(skills: DataFrame, spec: CohortSpec = STANDARD) -> DataFrame
 
 
 def cohort_members(postings: DataFrame, skills: DataFrame, spec: CohortSpec = STANDARD) -> DataFrame:
-    """Keys of the population, a key possibly more than once.
-
-    Both title rules are tested in one pass. Good for semi joins, which need no distinct.
-    """
+    """Keys of the population, a key possibly more than once. One pass tests both title rules."""
     titled = postings.filter(any_title_test("job_title", spec)).select(KEY)
     return skill_confirmed(skills, spec).unionByName(titled)
 
@@ -74,17 +72,37 @@ def build_cohort(postings: DataFrame, skills: DataFrame, spec: CohortSpec = STAN
 
 
 def cohort_postings(
-    postings: DataFrame, skills: DataFrame, spec: CohortSpec = STANDARD, everywhere: bool = False
+    postings: DataFrame,
+    skills: DataFrame,
+    spec: CohortSpec = STANDARD,
+    everywhere: bool = False,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
-    """Postings of the population, in the country of the definition unless ``everywhere``."""
+    """Postings of the population, in the country of the definition unless ``everywhere``.
+
+    ``keys`` is a population saved before; without it the rules are run.
+    """
     rows = postings if everywhere else postings.filter(F.col("search_country") == spec.country)
-    return restrict(rows, cohort_members(postings, skills, spec))
+    return restrict(rows, cohort_members(postings, skills, spec) if keys is None else keys)
 
 
 def cohort_in_country(postings: DataFrame, skills: DataFrame, spec: CohortSpec = STANDARD) -> DataFrame:
     return cohort_postings(postings, skills, spec).select(KEY)
 
 
-def cohort_with_skills(postings: DataFrame, skills: DataFrame, spec: CohortSpec = CLEANING) -> DataFrame:
+def save_cohort(postings: DataFrame, skills: DataFrame, path: str, spec: CohortSpec = STANDARD) -> tuple[DataFrame, int]:
+    """Writes the keys of the population in its country; returns the stored table and its rows.
+
+    The jobs that follow take it as ``keys``. They then neither repeat the rules nor guess
+    the size of the population.
+    """
+    rows = write_parquet(cohort_in_country(postings, skills, spec), path)
+    return postings.sparkSession.read.parquet(path), rows
+
+
+def cohort_with_skills(
+    postings: DataFrame, skills: DataFrame, spec: CohortSpec = CLEANING, keys: DataFrame | None = None
+) -> DataFrame:
     """The table the cleaning job starts from: postings of the population and their skills."""
-    return enrich(cohort_postings(postings, skills, spec), skills).drop("search_country")
+    base = cohort_postings(postings, skills, spec, keys=keys)
+    return enrich(base, skills, within=keys).drop("search_country")

@@ -98,6 +98,8 @@ def family_sample(
 ) -> DataFrame:
     """k adverts of each family with their skills and the head of their description."""
     drawn = sample_per_group(family_candidates(postings, skills), "candidate_title_family", k, seed=seed)
+    few = F.broadcast(drawn.select(KEY))  # at most k keys of each family
+    skills, summaries = (df.join(few, KEY, "left_semi") for df in (skills, summaries))
     full = enrich(enrich(drawn, skills), summaries)
     return full.select(
         "candidate_title_family",

@@ -10,8 +10,13 @@ from .cohort import STANDARD, CohortSpec, cohort_postings
 
 
 def handoff_table(
-    postings: DataFrame, skills: DataFrame, summaries: DataFrame, spec: CohortSpec = STANDARD
+    postings: DataFrame,
+    skills: DataFrame,
+    summaries: DataFrame,
+    spec: CohortSpec = STANDARD,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Adverts without skills or description stay; a repeated key there repeats the row."""
-    base = cohort_postings(postings, skills, spec)
-    return enrich(enrich(base, skills), summaries).select(*schemas.HANDOFF.names)
+    base = cohort_postings(postings, skills, spec, keys=keys)
+    full = enrich(enrich(base, skills, within=keys), summaries, within=keys)
+    return full.select(*schemas.HANDOFF.names)

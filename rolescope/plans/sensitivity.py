@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import pct
 from ..operators.keys import KEY
-from ..operators.profile import distribution, removal_summary
-from ..operators.repeats import keep_first
+from ..operators.profile import distribution
+from ..operators.repeats import keep_first, repeat_audit
 from ..operators.totals import top
 from .skills import top_raw_skills
 
@@ -20,15 +21,14 @@ def sensitivity_population(us_postings: DataFrame) -> DataFrame:
 
 
 def sensitivity_counts(us_postings: DataFrame) -> DataFrame:
-    return removal_summary(
-        us_postings,
-        sensitivity_population(us_postings),
-        (
-            "original_population",
-            "sensitivity_population",
-            "potential_repeated_records_removed",
-            "percentage_removed",
-        ),
+    """Adverts before and after the removal, which leaves one per combination."""
+    audit = repeat_audit(us_postings)
+    before, after = F.col("total"), F.col("combinations")
+    return audit.select(
+        before.alias("original_population"),
+        after.alias("sensitivity_population"),
+        (before - after).alias("potential_repeated_records_removed"),
+        pct(before - after, before).alias("percentage_removed"),
     )
 
 

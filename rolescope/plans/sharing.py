@@ -23,10 +23,13 @@ SHOWN = ("all_share", "core_share")
 
 
 def advert_skills(postings_final: DataFrame, skills_final: DataFrame) -> DataFrame:
-    """Adverts with their skills; adverts without skills stay."""
-    return postings_final.select(KEY, "role_category").join(
-        skills_final.select(KEY, "job_skills_normalized"), KEY, "left"
-    )
+    """Adverts with their skills; adverts without skills stay.
+
+    Both sides are made distinct first. The shares count adverts, so nothing is lost, and
+    the combine before the shuffle leaves a few rows of a key that repeats without end.
+    """
+    roles = postings_final.select(KEY, "role_category").distinct()
+    return roles.join(skills_final.select(KEY, "job_skills_normalized").distinct(), KEY, "left")
 
 
 def skill_shares(

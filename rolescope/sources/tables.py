@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -57,10 +58,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def session_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes an intermediate result once, registers it as a view and reads it back."""
+    """Writes an intermediate result once, registers it as a view and reads it back.
+
+    The rows survive the loss of an executor, and their size is known to the joins that follow.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
     stored = spark.read.parquet(path)
     stored.createOrReplaceTempView(name)
     return stored

@@ -21,7 +21,7 @@ TITLES = (
     "Senior Business Analyst",
     "Sr. Business Analyst",
     "  Business Analyst ",
-    "Business Analyst II",
+    "Business\u00a0Analyst II",
     "BUSINESS ANALYST - Payments",
     "Business Analyst, Business Analytics",
     "Business\u00a0Analyst Lead",
@@ -134,7 +134,7 @@ SKILLS = (
     "Requirements Gathering",
     "Documentation",
     "Jira",
-    " JIRA",
+    "\u00a0JIRA",
     "Process Mapping",
     "User Stories",
     "Gap Analysis",

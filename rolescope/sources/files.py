@@ -22,7 +22,7 @@ CSV_OPTIONS = {
 
 
 def read_raw_csv(spark: SparkSession, path, schema: StructType, multi_line: bool = True) -> DataFrame:
-    """CSV with a header and a fixed schema.
+    """CSV with a header and a fixed schema; an empty field is NULL.
 
     Text may hold line breaks, and Spark then reads each file in one task: deliver large
     tables as many files, and convert them to Parquet once. ``multi_line=False`` splits

@@ -39,7 +39,7 @@ def test_explode(skills):
 
 
 def test_explode_strips_all_space(spark):
-    lists = spark.createDataFrame([(1, " A ,\tb\n,c"), (2, " d , e")], "i int, l string")
+    lists = spark.createDataFrame([(1, "\u00a0A ,\tb\n,c"), (2, " d , e")], "i int, l string")
     tokens = T.explode_list(lists, "l", ["i"], out="t", unicode_space=True)
     assert rows(tokens) == [(1, "a"), (1, "b"), (1, "c"), (2, "d"), (2, "e")]
 
@@ -149,7 +149,7 @@ def test_rates(spark):
 
 
 def test_patterns_and_encoding(spark):
-    df = spark.createDataFrame([("office mgr",), ("mgrs",), (None,), ("a â€“ mgr",)], "t string")
+    df = spark.createDataFrame([("office mgr",), ("mgrs",), (None,), ("a\u00a0â€“ mgr",)], "t string")
     assert rows(P.pattern_counts(df, "t", {"mgr": r"\bmgr\b", "x": "zzz"})) == [("mgr", 2), ("x", 0)]
     assert rows(P.encoding_audit(df, "t")) == [(1, 1)]
 

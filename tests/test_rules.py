@@ -61,7 +61,7 @@ def test_title_rules(values):
 def test_skill_rule(values):
     lists = [
         "SQL, Business Analysis ,x", "business analyst", "Senior Business Analyst", None, "", ",,",
-        "Business Analysis ,x", "x,\tbusiness analyst",
+        "Business Analysis\u00a0,x", "x,\tbusiness analyst",
     ]
     assert values(skill_test, lists) == [True, True, False, None, False, False, False, False]
     assert values(lambda c: skill_test(c, CLEANING), lists) == [True, True, False, None, False, False, True, True]
@@ -84,7 +84,7 @@ LOCATIONS = [
     "Washington DC-Baltimore Area", "Washington, District of Columbia, United States", "District of Columbia",
     "Little Rock, Arkansas", "Kansas City Metropolitan Area", "New Mexico", "Mexico City, Mexico", "Mexicos",
     "Toronto, Canada", "Greater Jacksonville, NC Area", "Pueblo-Cañon City Area", "Greater Tampa Bay Area",
-    "Greater Minneapolis-St. Paul Area", "United States", "", "   ", "Remote", "x, TX",
+    "Greater Minneapolis-St. Paul Area", "United States", "", "   ", "Remote", "x,\u00a0TX",
 ] + [n.title() for n in L.STATE_NAMES] + [m.title() for m in L.METRO_AREAS | L.METRO_AREAS_ADDED]
 
 

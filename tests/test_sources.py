@@ -8,7 +8,7 @@ from rolescope.streaming.load import load_new_files, stream_raw_csv
 
 AWKWARD = [
     ("l1", 'a "quoted" x\nline2, z'), ("l2", "plain"), ("l3", "  padded  "), ("l4", None), ("l5", "back\\slash \\\" end"),
-    ("l6", "nbsp é–"),
+    ("l6", "nbsp\u00a0é–"),
 ]
 
 

@@ -23,6 +23,7 @@ from rolescope.operators.totals import rows_of, top
 from rolescope.plans import (
     cleaning, cohort, discovery, geography, handoff, quality, sensitivity, sharing, skills,
 )
+from rolescope.session import prepare
 from rolescope.sources.files import loaded_rows, preview
 from rolescope.sources.tables import session_table
 
@@ -45,7 +46,7 @@ def portable(df: DataFrame) -> DataFrame:
 
 def on_adverts(build: Callable[[Adverts], DataFrame]) -> Callable[[Adverts], DataFrame]:
     """Registers a query over the advert tables under the name of the function."""
-    QUERIES[build.__name__] = lambda spark, folder: portable(build(Adverts(spark, folder)))
+    QUERIES[build.__name__] = lambda spark, folder: portable(build(Adverts(prepare(spark), folder)))
     return build
 
 
@@ -53,6 +54,7 @@ def on_tables(build: Callable[[Callable[[str], DataFrame]], DataFrame]):
     """Registers a query over the test tables themselves."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
+        prepare(spark)
         return portable(build(lambda name: spark.read.parquet(f"{folder}/{name}.parquet")))
 
     QUERIES[build.__name__] = run

@@ -27,28 +27,48 @@ def subtract_keys(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b)
 
 
+def distinct_keys(keys: DataFrame, key: str = KEY) -> DataFrame:
+    """Distinct keys for the right side of a join.
+
+    A key that repeats without end is combined before the shuffle. AQE splits a hot key of
+    the left side only where both sides come straight from a shuffle; grouping by a struct
+    keeps the join from taking over the partitions of the distinct.
+    """
+    return keys.select(F.struct(key).alias("_key")).distinct().select(F.col("_key")[key].alias(key))
+
+
 def restrict(df: DataFrame, keys: DataFrame, key: str = KEY) -> DataFrame:
     """Rows whose key is in the set; the set may repeat keys."""
-    # The distinct shuffles by the join key, so it adds no exchange, and combines a key
-    # that repeats without end before it could fill one task of the join.
-    return df.join(keys.select(key).distinct(), key, "left_semi")
+    return df.join(distinct_keys(keys, key), key, "left_semi")
 
 
 def exclude(df: DataFrame, keys: DataFrame, key: str = KEY) -> DataFrame:
     """Rows whose key is not in the set; a NULL key is in no set."""
-    return df.join(keys.select(key).distinct(), key, "left_anti")
+    return df.join(distinct_keys(keys, key), key, "left_anti")
 
 
-def enrich(base: DataFrame, right: DataFrame, key: str = KEY, within: DataFrame | None = None) -> DataFrame:
+def enrich(
+    base: DataFrame,
+    right: DataFrame,
+    key: str = KEY,
+    within: DataFrame | None = None,
+    unique: bool = False,
+) -> DataFrame:
     """Left outer join; a repeated right key repeats the base row.
 
     ``within`` is a key set that covers the base. A stored one has a known size: if it is
     small Spark sends it to the scan of the right side, and texts nobody asks for are
     dropped there instead of being shuffled.
+
+    Spark can split a hot key of the left side of an outer join but not of the right. So
+    rows with a partner come from an inner join, where it can split both, and rows without
+    from an anti join. ``unique`` promises that right keys do not repeat and saves that.
     """
     if within is not None:
         right = restrict(right, within, key)
-    return base.join(right, key, "left")
+    if unique:
+        return base.join(right, key, "left")
+    return base.join(right, key).unionByName(exclude(base, right, key), allowMissingColumns=True)
 
 
 def overlap_audit(
@@ -59,7 +79,7 @@ def overlap_audit(
 ) -> DataFrame:
     """Rows, rows whose key is in the set, rows whose key is not."""
     total, matched, missed = names
-    marked = df.select(key).join(keys.select(key).distinct().withColumn("_hit", F.lit(1)), key, "left")
+    marked = df.select(key).join(distinct_keys(keys, key).withColumn("_hit", F.lit(1)), key, "left")
     hit = F.count("_hit")
     every = F.count(F.lit(1))
     return marked.agg(every.alias(total), hit.alias(matched), (every - hit).alias(missed))

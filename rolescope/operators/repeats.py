@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,16 +59,21 @@ def flag_repeats(
     large, into one task; here AQE can split a hot group's partition of the join.
     """
     columns = group_columns(keys, normalize, digest)
-    names = [f"_k{i}" for i in range(len(columns))]
+    names = [f"_k{i}" for i in range(len(keys))]
+    as_written = not (normalize or digest)
+    # As one struct the key is made once, not at every comparison, and its NULL fields are
+    # equal to each other. Keys compared as written travel in the struct only.
+    carried = [c for c in df.columns if c not in keys] if as_written else df.columns
+    rows = df.select(*carried, F.struct(*[c.alias(n) for c, n in zip(columns, names)]).alias("_group"))
     repeated = (
         df.groupBy(*[c.alias(n) for c, n in zip(columns, names)])
         .agg(every().alias("_n"))
         .filter(F.col("_n") > 1)
-        .select(*names, F.lit(True).alias("_repeated"))
+        .select(F.struct(*names).alias("_group"), F.lit(True).alias("_repeated"))
     )
-    same = reduce(and_, [c.eqNullSafe(F.col(n)) for c, n in zip(columns, names)])
-    marked = df.join(repeated, same, "left")
-    return marked.withColumn(name, F.col("_repeated").isNotNull()).drop("_repeated", *names)
+    written = dict(zip(keys, names))
+    kept = [F.col(c) if c in carried else F.col("_group")[written[c]].alias(c) for c in df.columns]
+    return rows.join(repeated, "_group", "left").select(*kept, F.col("_repeated").isNotNull().alias(name))
 
 
 def keep_first(

@@ -101,8 +101,12 @@ def save_cohort(postings: DataFrame, skills: DataFrame, path: str, spec: CohortS
 
 
 def cohort_with_skills(
-    postings: DataFrame, skills: DataFrame, spec: CohortSpec = CLEANING, keys: DataFrame | None = None
+    postings: DataFrame,
+    skills: DataFrame,
+    spec: CohortSpec = CLEANING,
+    keys: DataFrame | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """The table the cleaning job starts from: postings of the population and their skills."""
     base = cohort_postings(postings, skills, spec, keys=keys)
-    return enrich(base, skills, within=keys).drop("search_country")
+    return enrich(base, skills, within=keys, unique=unique).drop("search_country")

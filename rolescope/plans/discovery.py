@@ -10,7 +10,7 @@ from ..functions.rules import title_family
 from ..functions.text import (
     contains_any, excludes_ci, has_any_phrase, has_token, like_ci, punct_to_space, text_preview,
 )
-from ..operators.keys import KEY, enrich, exclude, overlap_audit
+from ..operators.keys import KEY, distinct_keys, enrich, exclude, overlap_audit
 from ..operators.profile import rate, value_counts
 from ..operators.sample import sample_per_group
 from ..operators.tokens import broad_only, compare_definitions, explode_list, lists_mentioning, term_counts
@@ -120,7 +120,7 @@ def with_evidence(candidates: DataFrame, skills: DataFrame, summaries: DataFrame
         df.filter(has_any_phrase([c], L.EVIDENCE_PHRASES) == 1).select(KEY)
         for df, c in ((skills, "job_skills"), (summaries, "job_summary"))
     ]
-    keys = found[0].unionByName(found[1]).distinct().withColumn("_found", F.lit(1))
+    keys = distinct_keys(found[0].unionByName(found[1])).withColumn("_found", F.lit(1))
     marked = candidates.join(keys, KEY, "left")
     return marked.withColumn("has_ba_activity_evidence", F.coalesce("_found", F.lit(0))).drop("_found")
 

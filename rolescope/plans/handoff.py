@@ -15,8 +15,10 @@ def handoff_table(
     summaries: DataFrame,
     spec: CohortSpec = STANDARD,
     keys: DataFrame | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Adverts without skills or description stay; a repeated key there repeats the row."""
     base = cohort_postings(postings, skills, spec, keys=keys)
-    full = enrich(enrich(base, skills, within=keys), summaries, within=keys)
-    return full.select(*schemas.HANDOFF.names)
+    for table in (skills, summaries):
+        base = enrich(base, table, within=keys, unique=unique)
+    return base.select(*schemas.HANDOFF.names)

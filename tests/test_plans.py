@@ -9,8 +9,10 @@ from checks.adverts import Adverts
 from checks.queries import QUERIES
 from rolescope import schemas
 from rolescope.operators import repeats as R
-from rolescope.operators.keys import KEY, enrich
+from rolescope.operators import keys as K
+from rolescope.operators.keys import KEY
 from rolescope.plans import cleaning, cohort, discovery, geography, handoff, quality, sensitivity, skills
+from rolescope.session import prepare
 from rolescope.sources.files import read_clean_postings, write_csv
 
 from .conftest import SMALL
@@ -112,12 +114,43 @@ def test_hot_group_is_split_when_flagging_repeats(spark, eager_skew):
     assert flagged.filter("is_likely_repost").count() == sum(i % 3 == 0 or i % 11 == 0 for i in range(40000))
 
 
-def test_hot_key_is_split_in_a_left_join(spark, eager_skew):
-    base = hot(spark).withColumn(KEY, F.when(F.col(KEY).endswith("7"), F.lit("l1")).otherwise(F.col(KEY)))
-    right = spark.range(0, 40000).select(F.concat(F.lit("l"), F.col("id")).alias(KEY), F.lit("s").alias("s"))
-    joined = enrich(base, right)
+def hot_keys(spark):
+    """A third of the rows has one key."""
+    key = F.when(F.col("id") % 3 == 0, F.lit("l1")).otherwise(F.col(KEY))
+    return spark.range(0, 40000, 1, 8).withColumn(KEY, F.concat(F.lit("l"), "id")).select(
+        key.alias(KEY), F.sha2(F.col(KEY), 512).alias("pad")
+    )
+
+
+def every_key(spark):
+    return spark.range(0, 40000, 1, 8).select(F.concat(F.lit("l"), F.col("id")).alias(KEY), F.sha2(F.col("id").cast("string"), 512).alias("s"))
+
+
+HOT = len(range(0, 40000, 3))
+
+
+@pytest.mark.parametrize(
+    "join, n",
+    [
+        (lambda hot, all_: K.restrict(hot, all_), 40000),
+        (lambda hot, all_: K.exclude(hot, all_.filter("job_link like '%5'")), 40000 - 2667),
+        (lambda hot, all_: K.enrich(hot, all_, unique=True), 40000),
+        (lambda hot, all_: K.enrich(hot, all_), 40000),
+        # the hot key on the right of the outer join
+        (lambda hot, all_: K.enrich(all_, hot), 40000 + HOT),
+        # followed by an aggregation by the key of the join
+        (lambda hot, all_: K.restrict(hot, all_).groupBy(KEY, "pad").count(), 40000),
+    ],
+)
+def test_hot_key_is_split_in_joins(spark, eager_skew, join, n):
+    prepare(spark)
+    joined = join(hot_keys(spark), every_key(spark))
     assert "skew=true" in executed(joined)
-    assert joined.count() == 40000
+    assert joined.count() == n
+
+
+def test_key_repeated_on_the_right_is_combined_before_the_shuffle(spark, no_broadcast):
+    assert K.overlap_audit(every_key(spark), hot_keys(spark)).first().matched == 40000 - HOT
 
 
 def test_first_of_a_hot_group_leaves_one_row_per_task(spark, no_broadcast):

@@ -191,6 +191,7 @@ class Adverts:
     """The three tables as DataFrames, read when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
         self._read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
 
     @cached_property

@@ -436,7 +436,7 @@ SELECT a AS before, b AS after, a - b AS removed, {pct_even('a - b', 'a', 2)} AS
     "sensitivity_top_skills": f"WITH {REDUCED} {both(lambda rows: raw_skills(rows, 'percentage', 10, 'value'))}",
     "sensitivity_top_locations": f"WITH {REDUCED} {top_values('job_location')}",
     # --- cleaning and classification
-    "handoff_table": f"""WITH {COHORT}
+    "handoff": f"""WITH {COHORT}
 SELECT us.job_link, job_title, company, job_location, search_country, first_seen, job_skills, job_summary
 FROM us LEFT JOIN job_skills USING (job_link) LEFT JOIN job_summary USING (job_link)""",
     "title_normalized": f"WITH {TITLED} SELECT job_link, job_title, job_title_normalized FROM titles",
@@ -572,4 +572,10 @@ FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1"""
         for s, label in (("F", "finished"), ("O", "open"), ("P", "partial"))
     ),
 }
-ORACLES["handoff_from_saved_keys"] = ORACLES["handoff_table"]
+ORACLES["handoff_from_saved_keys"] = ORACLES["handoff"]
+ORACLES["skills_csv_round_trip"] = ORACLES["skills_export"]
+# an empty field is NULL when read
+ORACLES["postings_csv_round_trip"] = f"""SELECT * REPLACE (nullif(job_location, '') AS job_location)
+FROM ({ORACLES['postings_export']})"""
+ORACLES["summaries_streamed"] = f"""WITH {ADVERTS_SQL}
+SELECT job_link, CAST(length(job_summary) AS BIGINT) AS chars FROM job_summary"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, IntegerType
 
+from rolescope import schemas
 from rolescope.functions import lookups as L
 from rolescope.functions import text as X
 from rolescope.functions.geo import DRAFT_LOOKUPS
@@ -24,8 +25,11 @@ from rolescope.plans import (
     cleaning, cohort, discovery, geography, handoff, quality, sensitivity, sharing, skills,
 )
 from rolescope.session import prepare
-from rolescope.sources.files import loaded_rows, preview
-from rolescope.sources.tables import session_table
+from rolescope.sources.files import (
+    loaded_rows, preview, read_clean_postings, read_clean_skills, write_csv,
+)
+from rolescope.sources.tables import session_table, shared_path
+from rolescope.streaming.load import load_new_files, stream_raw_csv
 
 from .adverts import Adverts
 
@@ -69,16 +73,24 @@ def combined(a: Adverts) -> DataFrame:
     return cohort.cohort_with_skills(a.postings, a.skills)
 
 
+def clean_rows(a: Adverts) -> DataFrame:
+    return cohort.cohort_postings(a.postings, a.skills, cohort.CLEANING)
+
+
+def skill_lists(a: Adverts) -> DataFrame:
+    return cohort.cohort_skill_lists(a.postings, a.skills)
+
+
 def roles(a: Adverts) -> DataFrame:
     return cleaning.with_role(titled(a))
 
 
 def titled(a: Adverts) -> DataFrame:
-    return cleaning.clean_titles(cohort.cohort_postings(a.postings, a.skills, cohort.CLEANING))
+    return cleaning.clean_titles(clean_rows(a))
 
 
 def located(a: Adverts, **options) -> DataFrame:
-    return cleaning.with_state(cohort.cohort_postings(a.postings, a.skills, cohort.CLEANING), **options)
+    return cleaning.with_state(clean_rows(a), **options)
 
 
 # --- size and coverage ----------------------------------------------------------------
@@ -342,7 +354,7 @@ def sensitivity_counts(a):
 @on_adverts
 def sensitivity_as_written(a):
     """Removal on the titles, companies and locations as written."""
-    rows = cohort.cohort_postings(a.postings, a.skills, cohort.CLEANING)
+    rows = clean_rows(a)
     counted = P.removal_summary(rows, cleaning.deduplicated(rows))
     return counted.withColumn("excluded_pct", pct_even(F.col("removed"), F.col("before"), 2)).drop(
         "percentage_removed"
@@ -454,29 +466,27 @@ def skills_exploded(a):
 
 @on_adverts
 def skills_folded_top(a):
-    rows = combined(a)
-    return skills.top_skills(skills.exploded(rows), rows)
+    return skills.top_skills(skills.exploded(skill_lists(a)), clean_rows(a))
 
 
 @on_adverts
 def skills_canonical_top(a):
-    rows = combined(a)
-    return skills.top_skills(skills.skill_mart(rows), rows)
+    return skills.top_skills(skills.skill_mart(skill_lists(a)), clean_rows(a))
 
 
 @on_adverts
 def skills_export(a):
-    return skills.skill_mart(combined(a))
+    return skills.skill_mart(skill_lists(a))
 
 
 @on_adverts
 def skill_share(a):
-    return sharing.skill_shares(roles(a), skills.skill_mart(combined(a)))
+    return sharing.skill_shares(roles(a), skills.skill_mart(skill_lists(a)))
 
 
 @on_adverts
 def skill_share_unpivot(a):
-    return sharing.skill_share_view(roles(a), skills.skill_mart(combined(a)))
+    return sharing.skill_share_view(roles(a), skills.skill_mart(skill_lists(a)))
 
 
 @on_adverts
@@ -532,6 +542,35 @@ def state_totals(a):
     return geography.state_totals(located(a))
 
 
+# --- files ----------------------------------------------------------------------------
+
+
+@on_adverts
+def postings_csv_round_trip(a):
+    """The typed reader over the postings export."""
+    path = shared_path(a.spark, "postings_csv")
+    write_csv(cleaning.postings_export(cleaning.clean_postings(combined(a))), path)
+    return read_clean_postings(a.spark, path)
+
+
+@on_adverts
+def skills_csv_round_trip(a):
+    path = shared_path(a.spark, "skills_csv")
+    write_csv(skills.skill_mart(skill_lists(a)), path)
+    return read_clean_skills(a.spark, path)
+
+
+@on_adverts
+def summaries_streamed(a):
+    """Descriptions written as CSV, line breaks and all, and loaded by the stream in two goes."""
+    source, target, progress = (shared_path(a.spark, f"summaries_{part}") for part in ("csv", "loaded", "progress"))
+    write_csv(a.summaries, source)
+    for _ in range(2):  # the second finds nothing new
+        rows = stream_raw_csv(a.spark, source, schemas.SUMMARIES)
+        load_new_files(rows, target, progress).awaitTermination()
+    return a.spark.read.parquet(target).select("job_link", F.length("job_summary").cast("bigint").alias("chars"))
+
+
 # --- the same operators on the test tables themselves ---------------------------------
 
 
@@ -672,3 +711,6 @@ def segment_share(t):
         rows, "c_mktsegment", "c_custkey", {s: (status == s, base) for s in ("F", "O", "P")}
     )
     return measures_to_rows(shares, ["c_mktsegment"], {"F": "finished", "O": "open", "P": "partial"})
+
+
+QUERIES["handoff"] = QUERIES.pop("handoff_table")

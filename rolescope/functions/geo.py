@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lookups as L
-from .text import ColumnLike, as_col, has_word, last_segment, let
+from .text import ColumnLike, as_col, has_word, last_segment, let, text_array
 
 
 @dataclass(frozen=True)
@@ -29,8 +29,8 @@ def first_named(c: Column, names: Mapping[str, str]) -> Column:
     """Value of the first name, in mapping order, that the text contains."""
     # A CASE with a branch per name would be generated as one method too large for the
     # JIT compiler and run at half the speed of a filter over a constant array.
-    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in names.items()])
-    return F.get(F.filter(pairs, lambda pair: c.contains(pair["name"])), F.lit(0))["value"]
+    found = F.get(F.filter(text_array(names), lambda name: c.contains(name)), F.lit(0))
+    return F.try_element_at(F.map_from_arrays(text_array(names), text_array(names.values())), found)
 
 
 def extract_state(

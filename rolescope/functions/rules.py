@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lookups as L
-from .text import ColumnLike, any_of, as_col, contains_any, has_word, let
+from .text import ColumnLike, any_of, as_col, contains_any, has_word, let, text_array
 
 UNCATEGORIZED = "Other / Uncategorized"
 
@@ -105,5 +105,5 @@ def skill_group(c: ColumnLike, groups=L.SKILL_GROUPS) -> Column:
 def canonical(c: ColumnLike, mapping: dict[str, str] = L.SKILL_SYNONYMS) -> Column:
     """Replaces a whole value by its canonical form; other values stay."""
     c = as_col(c)
-    pairs = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    pairs = F.map_from_arrays(text_array(mapping), text_array(mapping.values()))
     return F.coalesce(F.try_element_at(pairs, c), c)

@@ -31,6 +31,11 @@ def any_of(tests: Iterable[Column]) -> Column:
     return reduce(or_, tests)
 
 
+def text_array(values: Iterable[str]) -> Column:
+    """A constant array; Spark folds it before execution."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
 def holds(value: Column, test: Callable[[Column], Column]) -> Column:
     """A test that mentions its value several times while the value is computed once.
 

@@ -110,3 +110,11 @@ def cohort_with_skills(
     """The table the cleaning job starts from: postings of the population and their skills."""
     base = cohort_postings(postings, skills, spec, keys=keys)
     return enrich(base, skills, within=keys, unique=unique).drop("search_country")
+
+
+def cohort_skill_lists(
+    postings: DataFrame, skills: DataFrame, spec: CohortSpec = CLEANING, keys: DataFrame | None = None
+) -> DataFrame:
+    """Key and skill list of the adverts of the population that have one: all the skill mart needs."""
+    base = cohort_postings(postings, skills, spec, keys=keys).select(KEY)
+    return base.join(skills if keys is None else restrict(skills, keys), KEY)

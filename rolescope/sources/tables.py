@@ -57,13 +57,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
+
+
 def session_table(df: DataFrame, name: str) -> DataFrame:
     """Writes an intermediate result once, registers it as a view and reads it back.
 
     The rows survive the loss of an executor, and their size is known to the joins that follow.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     stored = spark.read.parquet(path)
     stored.createOrReplaceTempView(name)

@@ -453,7 +453,7 @@ def manager_abbreviation(a):
 
 @on_adverts
 def postings_export(a):
-    return cleaning.postings_export(cleaning.clean_postings(combined(a)))
+    return cleaning.postings_export(cleaning.clean_postings(clean_rows(a)))
 
 
 # --- skills ---------------------------------------------------------------------------
@@ -499,12 +499,12 @@ def role_groups(a):
 
 @on_adverts
 def location_last_part(a):
-    return geography.location_formats(combined(a))
+    return geography.location_formats(clean_rows(a))
 
 
 @on_adverts
 def location_variety(a):
-    return geography.location_variety(combined(a))
+    return geography.location_variety(clean_rows(a))
 
 
 @on_adverts
@@ -549,7 +549,7 @@ def state_totals(a):
 def postings_csv_round_trip(a):
     """The typed reader over the postings export."""
     path = shared_path(a.spark, "postings_csv")
-    write_csv(cleaning.postings_export(cleaning.clean_postings(combined(a))), path)
+    write_csv(cleaning.postings_export(cleaning.clean_postings(clean_rows(a))), path)
     return read_clean_postings(a.spark, path)
 
 

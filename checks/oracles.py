@@ -8,6 +8,7 @@ one pass.
 from __future__ import annotations
 
 from rolescope.functions import lookups as L
+from rolescope.functions.rules import ROLE_RULES, UNCATEGORIZED
 
 from .adverts import ADVERTS_SQL, sql_text
 
@@ -34,10 +35,16 @@ def quoted(values) -> str:
     return ", ".join(map(sql_text, values))
 
 
+def mentions(phrases, col: str = "job_title") -> str:
+    return "(" + " OR ".join(f"contains(lower({col}), {sql_text(p)})" for p in phrases) + ")"
+
+
+TITLED_TEST, EXCLUDED_TEST, FAMILY_TEST = map(mentions, (L.TITLE_PHRASES, L.TITLE_EXCLUSIONS, L.FAMILY_PHRASES))
 TRIM = "trim({0}, ' ')"
 KEY3 = ", ".join(f"lower(trim({c}, ' '))" for c in ("job_title", "company", "job_location"))
 STRIP = r"regexp_replace({0}, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g')"
 ANCHORS = quoted(L.ANCHOR_SKILLS)
+BROAD_TERM = f"{mentions(L.ANCHOR_SKILLS, 'skill_term')} AND NOT {mentions(L.TITLE_EXCLUSIONS, 'skill_term')}"
 
 TOKENS = """
 pieces AS (SELECT job_link, unnest(string_split(job_skills, ',')) AS piece FROM job_skills),
@@ -45,10 +52,8 @@ tokens AS (SELECT job_link, lower(trim(piece, ' ')) AS skill_term FROM pieces)
 """
 COHORT = f"""{ADVERTS_SQL}, {TOKENS},
 skill_keys AS (SELECT DISTINCT job_link FROM tokens WHERE skill_term IN ({ANCHORS})),
-titled AS (SELECT * FROM postings
-  WHERE lower(job_title) LIKE '%business analyst%' AND lower(job_title) NOT LIKE '%business analytics%'),
-family AS (SELECT * FROM postings WHERE lower(job_title) LIKE '%business systems analyst%'
-  OR lower(job_title) LIKE '%business system analyst%' OR lower(job_title) LIKE '%business process analyst%'),
+titled AS (SELECT * FROM postings WHERE {TITLED_TEST} AND NOT {EXCLUDED_TEST}),
+family AS (SELECT * FROM postings WHERE {FAMILY_TEST}),
 cohort AS (SELECT job_link FROM skill_keys UNION SELECT job_link FROM titled UNION SELECT job_link FROM family),
 us AS (SELECT p.* FROM cohort r JOIN postings p ON r.job_link = p.job_link WHERE search_country = 'United States')
 """
@@ -57,9 +62,8 @@ us AS (SELECT p.* FROM cohort r JOIN postings p ON r.job_link = p.job_link WHERE
 CLEAN_COHORT = f"""{ADVERTS_SQL},
 pieces AS (SELECT job_link, unnest(string_split(job_skills, ',')) AS piece FROM job_skills),
 skill_keys AS (SELECT DISTINCT job_link FROM pieces WHERE lower({STRIP.format('piece')}) IN ({ANCHORS})),
-titled AS (SELECT DISTINCT job_link FROM postings WHERE lower(job_title) LIKE '%business analyst%'),
-families AS (SELECT DISTINCT job_link FROM postings WHERE lower(job_title) LIKE '%business systems analyst%'
-  OR lower(job_title) LIKE '%business system analyst%' OR lower(job_title) LIKE '%business process analyst%'),
+titled AS (SELECT DISTINCT job_link FROM postings WHERE {TITLED_TEST}),
+families AS (SELECT DISTINCT job_link FROM postings WHERE {FAMILY_TEST}),
 members AS (SELECT job_link FROM skill_keys UNION SELECT job_link FROM titled UNION SELECT job_link FROM families),
 us AS (SELECT p.* FROM postings p WHERE p.job_link IN (SELECT job_link FROM members)
   AND search_country = 'United States'),
@@ -75,36 +79,14 @@ def normalized(col: str) -> str:
 
 
 def role_case(version: str, t: str = "job_title_normalized") -> str:
-    def word(w: str) -> str:
-        return rf"regexp_matches({t}, '\b({w})\b')"
-
-    def like(*phrases: str) -> str:
-        return " OR ".join(f"{t} LIKE '%{p}%'" for p in phrases)
-
-    final = version == "final"
-    finance = ["tax", "financial analyst", "accounting"]
-    finance += ["accountant", "auditor", "underwriter"] if final else []
-    branches = [
-        ("Business Analysis", like("business analyst", "business system analyst", "business process analyst")
-         + " OR " + word("ba")),
-        ("Data & Analytics", like("data analyst", "analytics") + " OR " + word("data")),
-        ("Project / Program Management", like("project manager", "program manager")),
-        ("IT / Systems", like("systems analyst", "system analyst", "enterprise architect", "software engineer")
-         + " OR " + word("it")),
-    ]
-    if final:
-        branches.append(("Engineering / Architecture (other)", word("engineer|architect|developer")))
-    branches.append(("Finance / Accounting / Tax" if final else "Finance / Tax", like(*finance, "controller")))
-    if final:
-        branches.append(("Sales / Business Development", like("sales", "account executive")))
-    branches += [
-        ("Retail / Store", like("store")),
-        ("Consulting", like("consultant")),
-        ("Manager (other)", like("manager") + ("" if version == "v1" else " OR " + word("mgr"))),
-        ("Analyst (other)", word("analyst")),
-    ]
-    whens = " ".join(f"WHEN {test} THEN {sql_text(label)}" for label, test in branches)
-    return f"CASE {whens} ELSE 'Other / Uncategorized' END"
+    def test(rule) -> str:
+        tests = [f"strpos({t}, {sql_text(p)}) > 0" for p in rule.phrases]
+        if rule.words:
+            tests.append(rf"regexp_matches({t}, '\b({'|'.join(rule.words)})\b')")
+        return " OR ".join(tests)
+
+    whens = " ".join(f"WHEN {test(r)} THEN {sql_text(r.label)}" for r in ROLE_RULES[version])
+    return f"CASE {whens} ELSE {sql_text(UNCATEGORIZED)} END"
 
 
 def state_case(loc: str = "job_location", metros=None, longest_first: bool = False) -> str:
@@ -146,24 +128,16 @@ def missed(rows: str) -> str:
     return f"(SELECT x.* FROM ({rows}) x LEFT JOIN skill_keys s ON x.job_link = s.job_link WHERE s.job_link IS NULL)"
 
 
-FAMILY_ROWS = missed("""SELECT *, CASE WHEN lower(job_title) LIKE '%business systems analyst%'
-      OR lower(job_title) LIKE '%business system analyst%' THEN 'Business System(s) Analyst'
-    WHEN lower(job_title) LIKE '%business process analyst%' THEN 'Business Process Analyst' END
-    AS candidate_title_family
-  FROM family WHERE lower(job_title) NOT LIKE '%business analyst%'""")
-ACRONYM_ROWS = missed("""SELECT * FROM postings
-  WHERE ' ' || lower(regexp_replace(job_title, '[-/(),.]', ' ', 'g')) || ' ' LIKE '% ba %'
-    AND lower(job_title) NOT LIKE '%business analyst%' AND lower(job_title) NOT LIKE '%business systems analyst%'
-    AND lower(job_title) NOT LIKE '%business system analyst%'
-    AND lower(job_title) NOT LIKE '%business process analyst%'""")
+FAMILY_CASE = " ".join(f"WHEN {mentions(phrases)} THEN {sql_text(label)}" for label, phrases in L.TITLE_FAMILIES)
+FAMILY_ROWS = missed(f"""SELECT *, CASE {FAMILY_CASE} END AS candidate_title_family
+  FROM family WHERE NOT {TITLED_TEST}""")
+ACRONYM_ROWS = missed(rf"""SELECT * FROM postings
+  WHERE list_contains(regexp_split_to_array(lower(job_title), '[-/(),. ]'), 'ba')
+    AND NOT {TITLED_TEST} AND NOT {FAMILY_TEST}""")
 
 
 def evidence(rows: str) -> str:
-    tests = [
-        f"lower(coalesce({c}, '')) LIKE '%{p}%'"
-        for c in ("js.job_skills", "j.job_summary")
-        for p in L.EVIDENCE_PHRASES
-    ]
+    tests = [mentions(L.EVIDENCE_PHRASES, f"coalesce({c}, '')") for c in ("js.job_skills", "j.job_summary")]
     return f"""(SELECT c.*, CASE WHEN {' OR '.join(tests)} THEN 1 ELSE 0 END AS hit FROM {rows} c
   LEFT JOIN job_skills js ON c.job_link = js.job_link LEFT JOIN job_summary j ON c.job_link = j.job_link)"""
 
@@ -315,28 +289,26 @@ ORDER BY job_link LIMIT 100""",
     "term_counts": f"""WITH {ADVERTS_SQL}, {TOKENS}
 SELECT skill_term, count(DISTINCT job_link) AS job_count FROM tokens
 WHERE skill_term LIKE '%business analy%' GROUP BY 1""",
-    "compare_definitions": f"""WITH {ADVERTS_SQL}, {TOKENS}
-SELECT 'Exact Business Analysis only' AS definition, count(DISTINCT job_link) AS job_count FROM tokens
-  WHERE skill_term = 'business analysis'
-UNION ALL SELECT 'Business Analysis or Business Analyst exact', count(DISTINCT job_link) FROM tokens
-  WHERE skill_term IN ({ANCHORS})
-UNION ALL SELECT 'Broad BA-related terms excluding Business Analytics', count(DISTINCT job_link) FROM tokens
-  WHERE (skill_term LIKE '%business analysis%' OR skill_term LIKE '%business analyst%')
-    AND skill_term NOT LIKE '%business analytics%'""",
+    "compare_definitions": f"WITH {ADVERTS_SQL}, {TOKENS} " + " UNION ALL ".join(
+        f"SELECT {sql_text(label)} AS definition, count(DISTINCT job_link) AS job_count FROM tokens WHERE {test}"
+        for label, test in (
+            ("Exact Business Analysis only", "skill_term = 'business analysis'"),
+            ("Business Analysis or Business Analyst exact", f"skill_term IN ({ANCHORS})"),
+            ("Broad BA-related terms excluding Business Analytics", BROAD_TERM),
+        )
+    ),
     "broad_only_terms": f"""WITH {ADVERTS_SQL}, {TOKENS}
 SELECT job_link, skill_term FROM tokens b
-WHERE (skill_term LIKE '%business analysis%' OR skill_term LIKE '%business analyst%')
-  AND skill_term NOT LIKE '%business analytics%'
-  AND NOT EXISTS (SELECT 1 FROM tokens e WHERE e.job_link = b.job_link AND e.skill_term IN ({ANCHORS}))
+WHERE {BROAD_TERM}
+  AND (job_link IS NULL OR job_link NOT IN (SELECT job_link FROM tokens WHERE skill_term IN ({ANCHORS})))
 ORDER BY skill_term, job_link LIMIT 100""",
     "overlap_audit": f"""WITH {COHORT}
 SELECT count(*) AS total_business_analyst_titled_jobs, count(s.job_link) AS already_skill_confirmed,
   count(*) - count(s.job_link) AS missed_by_skill_rule
 FROM titled p LEFT JOIN skill_keys s ON p.job_link = s.job_link""",
     "missed_titles": f"WITH {COHORT} {title_counts(missed('SELECT * FROM titled'))}",
-    "wide_pattern_titles": f"""WITH {COHORT} {title_counts(missed('''SELECT * FROM postings
-  WHERE lower(job_title) LIKE '%business%analyst%' AND lower(job_title) NOT LIKE '%business analyst%'
-    AND lower(job_title) NOT LIKE '%business analytics%' '''))}""",
+    "wide_pattern_titles": f"""WITH {COHORT} {title_counts(missed(f'''SELECT * FROM postings
+  WHERE regexp_matches(lower(job_title), 'business.*analyst', 's') AND NOT {TITLED_TEST} AND NOT {EXCLUDED_TEST}'''))}""",
     "family_counts": f"""WITH {COHORT}
 SELECT candidate_title_family, count(*) AS job_count FROM {FAMILY_ROWS} GROUP BY 1""",
     "family_sample": f"""WITH {COHORT}, drawn AS (SELECT *, row_number() OVER (PARTITION BY candidate_title_family
@@ -400,8 +372,7 @@ FROM company_counts ORDER BY job_count DESC, company NULLS FIRST LIMIT 30""",
     ),
     "city_agreement": f"""WITH {ADVERTS_SQL},
 compared AS (SELECT trim(search_city, ' ') AS sc, trim(job_location, ' ') AS jl,
-  lower(trim(CASE WHEN strpos(job_location, ',') > 0 THEN left(job_location, strpos(job_location, ',') - 1)
-    ELSE job_location END, ' ')) AS advertised, lower(trim(search_city, ' ')) AS searched FROM postings)
+  lower(trim(regexp_extract(job_location, '^[^,]*'), ' ')) AS advertised, lower(trim(search_city, ' ')) AS searched FROM postings)
 SELECT count(*) AS total_job_postings, {n_if("sc IS NULL OR sc = ''")} AS missing_search_city,
   {n_if("jl IS NULL OR jl = ''")} AS missing_job_location, {n_if('searched = advertised')} AS matching_city,
   {n_if('searched <> advertised')} AS nonmatching_city,

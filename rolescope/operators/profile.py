@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.numbers import pct, pct_even, pct_text
 from ..functions.text import BROKEN_DASH, NBSP, is_blank, safe_date, unicode_regex
@@ -213,7 +214,9 @@ def temporal_coverage(
     total, valid, invalid, earliest, latest, distinct = names
     # Few dates, many rows: count per date first, so the distinct count costs nothing more.
     day = F.col("_day")
-    per_day = df.groupBy(safe_date(F.col(col).cast("string")).alias("_day")).agg(every().alias("_n"))
+    as_text = isinstance(df.schema[col].dataType, StringType)
+    date = safe_date(col) if as_text else F.col(col).cast("date")
+    per_day = df.groupBy(date.alias("_day")).agg(every().alias("_n"))
     rows = F.coalesce(F.sum("_n"), F.lit(0))
     known = F.coalesce(F.sum(F.when(day.isNotNull(), F.col("_n"))), F.lit(0))
     return per_day.agg(

@@ -32,29 +32,42 @@ def sensitivity_counts(us_postings: DataFrame) -> DataFrame:
     )
 
 
-def _both(us_postings: DataFrame, ranking) -> DataFrame:
+def _both(us_postings: DataFrame, ranking, bases: dict[str, int] | None) -> DataFrame:
+    bases = bases or {}
     parts = [
-        ranking(rows).select(F.lit(label).alias("population"), "*")
+        ranking(rows, bases.get(label)).select(F.lit(label).alias("population"), "*")
         for label, rows in ((ORIGINAL, us_postings), (REDUCED, sensitivity_population(us_postings)))
     ]
     return parts[0].unionByName(parts[1])
 
 
-def compare_top_values(us_postings: DataFrame, value: Column, k: int = 10) -> DataFrame:
-    """Top values of a posting column in both populations."""
-    return _both(us_postings, lambda rows: top(distribution(rows, value, "value"), k, "job_count", "value"))
+def compare_top_values(
+    us_postings: DataFrame, value: Column, k: int = 10, bases: dict[str, int] | None = None
+) -> DataFrame:
+    """Top values of a posting column in both populations.
 
+    Shares are of the population, or of the number ``bases`` gives for it.
+    """
 
-def compare_top_titles(us_postings: DataFrame, k: int = 10) -> DataFrame:
-    return compare_top_values(us_postings, F.trim("job_title"), k)
+    def ranking(rows: DataFrame, base) -> DataFrame:
+        return top(distribution(rows, value, "value", base=base), k, "job_count", "value")
 
+    return _both(us_postings, ranking, bases)
 
-def compare_top_locations(us_postings: DataFrame, k: int = 10) -> DataFrame:
-    return compare_top_values(us_postings, F.col("job_location"), k)
 
+def compare_top_titles(us_postings: DataFrame, k: int = 10, bases: dict[str, int] | None = None) -> DataFrame:
+    return compare_top_values(us_postings, F.trim("job_title"), k, bases)
 
-def compare_top_skills(us_postings: DataFrame, skills: DataFrame, k: int = 10) -> DataFrame:
-    def ranking(rows: DataFrame) -> DataFrame:
-        return top_raw_skills(rows.select(KEY), skills, k, share="percentage").withColumnRenamed("skill", "value")
 
-    return _both(us_postings, ranking)
+def compare_top_locations(us_postings: DataFrame, k: int = 10, bases: dict[str, int] | None = None) -> DataFrame:
+    return compare_top_values(us_postings, F.col("job_location"), k, bases)
+
+
+def compare_top_skills(
+    us_postings: DataFrame, skills: DataFrame, k: int = 10, bases: dict[str, int] | None = None
+) -> DataFrame:
+    def ranking(rows: DataFrame, base) -> DataFrame:
+        ranked = top_raw_skills(rows.select(KEY), skills, k, base, share="percentage")
+        return ranked.withColumnRenamed("skill", "value")
+
+    return _both(us_postings, ranking, bases)

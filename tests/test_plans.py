@@ -212,6 +212,19 @@ def test_sensitivity_invariants(a):
     assert (counts.original_population, counts.sensitivity_population) == (us.count(), reduced.count())
 
 
+def test_fixed_denominators(a):
+    us = cohort.cohort_postings(a.postings, a.skills)
+    bases = {sensitivity.ORIGINAL: 1000, sensitivity.REDUCED: 500}
+    for ranked in (
+        sensitivity.compare_top_titles(us, 3, bases),
+        sensitivity.compare_top_locations(us, 3, bases),
+        sensitivity.compare_top_skills(us, a.skills, 3, bases),
+    ):
+        got = ranked.collect()
+        assert len(got) == 6
+        assert all(float(r.percentage) == round(100 * r.job_count / bases[r.population], 2) for r in got)
+
+
 def test_checks_before_cleaning(a):
     checks = quality.checkpoint_checks(cohort.cohort_with_skills(a.postings, a.skills))
     assert set(checks) == {"duplicate_keys", "likely_reposts", "location", "encoding", "dates", "levels"}

@@ -47,6 +47,16 @@ def exclude(df: DataFrame, keys: DataFrame, key: str = KEY) -> DataFrame:
     return df.join(distinct_keys(keys, key), key, "left_anti")
 
 
+def match(base: DataFrame, right: DataFrame, key: str = KEY) -> DataFrame:
+    """Inner join in which a hot key of either side can be split.
+
+    A side that comes out of another join by the same key would be joined where it lies,
+    out of AQE's reach. The hash as a second join key makes Spark shuffle both sides.
+    """
+    sides = (df.withColumn("_hash", F.xxhash64(key)) for df in (base, right))
+    return next(sides).join(next(sides), [key, "_hash"]).drop("_hash")
+
+
 def enrich(
     base: DataFrame,
     right: DataFrame,
@@ -62,13 +72,14 @@ def enrich(
 
     Spark can split a hot key of the left side of an outer join but not of the right. So
     rows with a partner come from an inner join, where it can split both, and rows without
-    from an anti join. ``unique`` promises that right keys do not repeat and saves that.
+    from an anti join. ``unique`` promises that right keys do not repeat: one join then does,
+    without a shuffle where both sides are already partitioned or bucketed by the key.
     """
     if within is not None:
         right = restrict(right, within, key)
     if unique:
         return base.join(right, key, "left")
-    return base.join(right, key).unionByName(exclude(base, right, key), allowMissingColumns=True)
+    return match(base, right, key).unionByName(exclude(base, right, key), allowMissingColumns=True)
 
 
 def overlap_audit(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions.text import contains_any, contains_ci, holds, or_empty
-from ..operators.keys import KEY, enrich, restrict
+from ..operators.keys import KEY, enrich, match, restrict
 from ..operators.tokens import has_term
 from ..sources.tables import write_parquet
 
@@ -117,4 +117,4 @@ def cohort_skill_lists(
 ) -> DataFrame:
     """Key and skill list of the adverts of the population that have one: all the skill mart needs."""
     base = cohort_postings(postings, skills, spec, keys=keys).select(KEY)
-    return base.join(skills if keys is None else restrict(skills, keys), KEY)
+    return match(base, skills if keys is None else restrict(skills, keys))

@@ -9,11 +9,15 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot key's partition of a join even where the next step then needs a shuffle of its own
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # the rows of adverts are short and the rules cost time per row: split earlier than at 256 MB
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64MB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32MB",
 }
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Switches on the run-time splitting of hot keys; all of these can change in a running session."""
+    """Switches on the run-time splitting of hot keys where the session does not say otherwise."""
     for name, value in SETTINGS.items():
-        spark.conf.set(name, value)
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     return spark

@@ -149,6 +149,13 @@ def test_hot_key_is_split_in_joins(spark, eager_skew, join, n):
     assert joined.count() == n
 
 
+def test_hot_key_on_the_right_is_split_after_another_join(spark, eager_skew):
+    prepare(spark)
+    chained = K.enrich(K.restrict(every_key(spark), every_key(spark)), hot_keys(spark))
+    assert re.search(r"SortMergeJoin\(skew=true\).*Inner", executed(chained))
+    assert chained.count() == 40000 + HOT
+
+
 def test_key_repeated_on_the_right_is_combined_before_the_shuffle(spark, no_broadcast):
     assert K.overlap_audit(every_key(spark), hot_keys(spark)).first().matched == 40000 - HOT
 

@@ -60,7 +60,7 @@ def test_tables_bucketed_alike_join_without_a_shuffle(spark):
     tables.write_table(right, "t_summary", buckets=4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = enrich(spark.table("t_skills"), spark.table("t_summary"))
+        joined = enrich(spark.table("t_skills"), spark.table("t_summary"), unique=True)
         assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
         assert joined.count() == 200
     finally:

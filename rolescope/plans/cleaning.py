@@ -44,8 +44,10 @@ def with_attributes(
 
 def clean_postings(combined: DataFrame, strict_dates: bool = False, **options) -> DataFrame:
     """The whole cleaning. Reposts are flagged on the titles as they came, before mending."""
-    dated = flag_repeats(combined).withColumn("first_seen", safe_date("first_seen", strict_dates))
-    return with_attributes(dated, **options)
+    dated = combined.withColumn("first_seen", safe_date("first_seen", strict_dates))
+    # The work per row is done before the shuffle by repost group, where rows are spread evenly.
+    cleaned = with_attributes(dated.withColumn("_title", F.col("job_title")), **options)
+    return flag_repeats(cleaned, ("_title", "company", "job_location")).drop("_title")
 
 
 def postings_export(cleaned: DataFrame) -> DataFrame:

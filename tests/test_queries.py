@@ -6,11 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import difference, duck
+from checks.oracles import ORACLES
+from checks.queries import QUERIES
 
 from .conftest import SMALL
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def connection():

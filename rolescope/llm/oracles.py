@@ -22,7 +22,7 @@ OP2 = f"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{_WORD}')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l
   FROM documents
 ), windows AS (
   SELECT doc_id, i, (w[i], w[i + 1], w[i + 2]) AS g
@@ -36,8 +36,8 @@ WITH base AS (
   SELECT b.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
-         len(list_filter(w, x -> lower(x) IN ({_STOP}))) AS n_stop_words, len(l) AS n_lines,
-         len(list_filter(l, x -> regexp_matches(x, '(\\.\\.\\.|…) *$'))) AS n_cut_lines,
+         len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS n_stop_words, len(l) AS n_lines,
+         len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…) *$'))) AS n_cut_lines,
          length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals
   FROM base b LEFT JOIN repeated r ON r.doc_id = b.doc_id
 ), judged AS (
@@ -76,7 +76,7 @@ WITH lines AS (
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
 ), tokens AS (
   SELECT doc_id, text, line, list_transform(regexp_extract_all(line_text, '[^\x20\x09-\x0D]+'),
-         x -> CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
+         lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
   FROM lines
 ), parsed AS (
   SELECT doc_id, text, line, len(t) AS n, [t[1], t[2]] AS lead,
@@ -101,7 +101,7 @@ WITH lines AS (
 SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines,
        CAST(coalesce(len(g.numbers), 0) AS BIGINT) AS n_dropped,
        sha256(array_to_string(list_filter(string_split(d.text, chr(10)),
-              (x, i) -> NOT list_contains(coalesce(g.numbers, []), i - 1)), chr(10))) AS kept_sha256
+              lambda x, i: NOT list_contains(coalesce(g.numbers, []), i - 1)), chr(10))) AS kept_sha256
 FROM documents d LEFT JOIN dropped g ON g.text = d.text
 """
 

@@ -25,7 +25,7 @@ from . import words as W
 
 #: Text in a row of pieces. Pieces of more bytes than LONG are merged with a heap, which
 #: takes n log n steps where the fold takes n * n; the merges are the same.
-ROW_BYTES, LONG = 8 << 20, 48
+ROW_BYTES, LONG = 4 << 20, 48
 NONE = 1 << 20  # rank of a pair that does not merge
 
 
@@ -83,39 +83,48 @@ class PairTable:
     def literal(self) -> Column:
         return F.split(F.lit(",".join(map(str, self.slots))), ",").cast("array<bigint>")
 
-    def rank(self, slots: Column, left: Column, right: Column) -> Column:
-        key = left * F.lit(1 << 20).cast("bigint") + right
-        one, two = F.get(slots, (key % self.first).cast("int")), F.get(slots, (key % self.second + self.first).cast("int"))
-        low = F.lit((1 << 20) - 1).cast("bigint")
-        return (
-            F.when(F.shiftright(one, 20) == key, one.bitwiseAND(low))
-            .when(F.shiftright(two, 20) == key, two.bitwiseAND(low))
-            .otherwise(F.lit(NONE))
-            .cast("int")
-        )
+    def ranks(self, slots: Column, ids: Column) -> Column:
+        """The ranks of all neighbouring pairs of ids."""
+        one, low = F.lit(1 << 20).cast("bigint"), F.lit((1 << 20) - 1).cast("bigint")
+        tail = F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0)))
+        keys = F.transform(tail, lambda right, i: F.get(ids, i) * one + right)
+
+        def rank(key: Column) -> Column:
+            slot = [F.get(slots, (key % self.first).cast("int")), F.get(slots, (key % self.second + self.first).cast("int"))]
+            hit = [F.shiftright(s, 20) == key for s in slot]
+            found = F.when(hit[0], slot[0].bitwiseAND(low)).when(hit[1], slot[1].bitwiseAND(low))
+            return F.coalesce(found.cast("int"), F.lit(NONE))
+
+        return F.transform(keys, rank)
 
 
 def merged(piece: Column, table: PairTable, slots: Column) -> Column:
     """The ids of a piece given as the ids of its bytes."""
 
-    def state(ids: Column) -> Column:
-        pairs = F.transform(
-            F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0))), lambda y, i: table.rank(slots, F.get(ids, i), y)
-        )
-        return F.struct(ids.alias("ids"), pairs.alias("ranks"))
-
     def step(acc: Column, _: Column) -> Column:
-        lowest = F.array_min(acc["ranks"])
+        ids, ranks = acc["ids"], acc["ranks"]
 
-        def join(low: Column) -> Column:
-            at = F.array_position(acc["ranks"], low).cast("int")
-            rest = F.slice(acc["ids"], at + 2, F.size(acc["ids"]))
-            return let(F.concat(F.slice(acc["ids"], F.lit(1), at - 1), F.array(low), rest), state)
+        def join(at: Column) -> Column:
+            joined = F.concat(
+                F.slice(ids, F.lit(1), at - 1), F.array(F.get(ranks, at - 1)), F.slice(ids, at + 2, F.size(ids))
+            )
 
-        return F.when(lowest < NONE, let(lowest, join)).otherwise(acc)
+            def with_ranks(new: Column) -> Column:
+                begin = F.greatest(at - 1, F.lit(1))
+                near = F.slice(new, begin, at + 2 - begin)  # the new id and its neighbours
+                pairs = F.concat(
+                    F.slice(ranks, F.lit(1), begin - 1), table.ranks(slots, near), F.slice(ranks, at + 2, F.size(ranks))
+                )
+                return F.struct(new.alias("ids"), pairs.alias("ranks"))
+
+            return let(joined, with_ranks)
+
+        lowest = F.array_min(ranks)
+        return F.when(lowest < NONE, let(F.array_position(ranks, lowest).cast("int"), join)).otherwise(acc)
 
     steps = F.slice(piece, F.lit(2), F.size(piece))
-    return F.aggregate(steps, state(piece), step, lambda acc: acc["ids"])
+    begin = F.struct(piece.alias("ids"), table.ranks(slots, piece).alias("ranks"))
+    return F.aggregate(steps, begin, step, lambda acc: acc["ids"])
 
 
 def merge_long(piece: list[int], pairs: dict[int, int]) -> list[int]:
@@ -200,7 +209,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                 used = of[np.asarray(codes)]
                 size = lengths[used].astype(np.int64)
                 place = np.cumsum(size) - size
-                ids = flat[np.repeat(starts[used] - place, size) + np.arange(size.sum())]
+                ids = flat[W.runs(starts[used].astype(np.int64), size)]
                 total = np.append(place, size.sum())[np.asarray(ends)]
                 ids = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(ids, pa.int32()))
                 for a in range(0, len(docs), 1000):
@@ -217,12 +226,23 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
 def decode(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``rows`` (doc_id, ids) with bytes, the tokens' bytes one after another. Null ids give null."""
-    sent = rows.sparkSession.sparkContext.broadcast({i: token for token, i in ranks.items()})
+    ordered = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        ordered[i] = token
+    length = np.array([len(t) for t in ordered], dtype=np.int64)
+    pieces = np.frombuffer(b"".join(ordered), dtype=np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast((pieces, np.cumsum(length) - length, length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = sent.value
+        pieces, start, length = sent.value
         for batch in batches:
-            raw = [None if ids is None else b"".join(map(tokens.__getitem__, ids)) for ids in batch["ids"].to_pylist()]
+            raw = []
+            for i in range(batch.num_rows):
+                ids = batch["ids"][i].values
+                if ids is not None:
+                    ids = np.asarray(ids)
+                    ids = pieces[W.runs(start[ids], length[ids])].tobytes()
+                raw.append(ids)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["ids"], pa.array(raw, pa.binary())], ["doc_id", "ids", "bytes"]
             )

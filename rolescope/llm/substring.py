@@ -175,8 +175,7 @@ def joined_words(w: W.Words, keep: np.ndarray) -> pa.Array:
     for a in range(0, len(at), 1 << 17):
         b = min(len(at), a + (1 << 17))
         many = length[a:b]
-        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        out[np.repeat(begin[a:b], many) + step] = w.data[np.repeat(w.start[at[a:b]], many) + step]
+        out[W.runs(begin[a:b], many)] = w.data[W.runs(w.start[at[a:b]], many)]
     offsets = begin[np.searchsorted(row, np.arange(n + 1))]
     text = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
     return text.cast(pa.string())

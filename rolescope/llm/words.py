@@ -76,6 +76,12 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[new], order[new], number
 
 
+def runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each run, one run after another."""
+    before = np.cumsum(length) - length
+    return np.repeat(start - before, length) + np.arange(length.sum())
+
+
 @dataclass
 class Words:
     """Words of consecutive rows: bytes ``data[start:end]`` of row ``row``; row i has words first[i] to first[i+1]."""

@@ -157,20 +157,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
 
 
+def _packed(n, m, level):
+    """Set size, multi-match and level of a prefix shingle in one number: rows of uses are many."""
+    return F.shiftleft(n, 8) + F.shiftleft(m, 4).cast("long") + level
+
+
 def _pair(x, y):
-    """a < b with the shared shingle's levels and set sizes, from two entries of its list."""
+    """a < b with the matches they need, from two uses of a shingle."""
     first = x["doc"] < y["doc"]
     return F.struct(
         F.when(first, x["doc"]).otherwise(y["doc"]).alias("a"),
         F.when(first, y["doc"]).otherwise(x["doc"]).alias("b"),
-        F.least(x["m"], y["m"]).alias("need"),
+        F.least(*_matches(x, y)).alias("need"),
     )
 
 
+def _matches(x, y):
+    return [F.shiftright(u["info"], 4).bitwiseAND(F.lit(15).cast("long")) for u in (x, y)]
+
+
 def _may_link(x, y, percent: int):
     """Sizes near enough, and the shingle lies in the prefix of both that their common m asks for."""
-    sizes = 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
-    return sizes & (F.greatest(x["level"], y["level"]) <= F.least(x["m"], y["m"])) & (x["doc"] != y["doc"])
+    n = [F.shiftright(u["info"], 8) for u in (x, y)]
+    level = [u["info"].bitwiseAND(F.lit(15).cast("long")) for u in (x, y)]
+    sizes = 100 * F.least(*n) >= percent * F.greatest(*n)
+    return sizes & (F.greatest(*level) <= F.least(*_matches(x, y))) & (x["doc"] != y["doc"])
 
 
 def link_groups(docs: DataFrame, percent: int = 90, size: int = 3, few: int = FEW) -> DataFrame:
@@ -194,15 +205,16 @@ def link_groups(docs: DataFrame, percent: int = 90, size: int = 3, few: int = FE
 
     prefixes = _prefixes(docs, size, percent, keys[order], times[order])
     prefixes = prefixes.join(classes.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    prefixes = stored(prefixes, "jaccard-prefixes")
     base = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     uses = prefixes.select("doc_id", "n", "m", base.alias("base"), F.posexplode("prefix").alias("i", "shingle"))
-    level = F.greatest(F.lit(1), (F.col("i") - F.col("base") + 2).cast("int"))
-    uses = uses.select("shingle", F.struct(F.col("doc_id").alias("doc"), "n", "m", level.alias("level")).alias("use"))
-    shared = uses.groupBy("shingle").agg(F.count("*").alias("users"), F.min("use.doc").alias("lead")).where("users > 1")
+    level = F.greatest(F.lit(1).cast("long"), F.col("i") - F.col("base") + 2)
+    uses = uses.select("shingle", F.col("doc_id").alias("doc"), _packed(F.col("n"), F.col("m"), level).alias("info"))
+    shared = uses.groupBy("shingle").agg(F.count("*").alias("users"), F.min("doc").alias("lead")).where("users > 1")
     uses = stored(uses.join(shared, "shingle"), "jaccard-uses")
 
     rare, frequent = uses.where(F.col("users") <= few), uses.where(F.col("users") > few)
-    lists = rare.groupBy("shingle").agg(F.collect_list("use").alias("l"))  # at most ``few`` entries
+    lists = rare.groupBy("shingle").agg(F.collect_list(F.struct("doc", "info")).alias("l"))  # at most ``few`` entries
     found = F.flatten(
         F.transform(
             "l",
@@ -213,11 +225,11 @@ def link_groups(docs: DataFrame, percent: int = 90, size: int = 3, few: int = FE
     )
     near = lists.select(F.explode(found).alias("p")).select("p.*").groupBy("a", "b", "need").agg(F.count("*").alias("n"))
     near = stored(near, "jaccard-near")
-    led = frequent.where("use.doc <> lead").select(F.col("lead").alias("a"), F.col("use.doc").alias("b"))
+    led = frequent.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"))
     led = led.groupBy("a", "b").agg(F.count("*").alias("n"))
 
     # texts that may need to be compared at all
-    involved = near.select("a").union(near.select("b")).union(frequent.select("use.doc")).distinct()
+    involved = near.select("a").union(near.select("b")).union(frequent.select("doc")).distinct()
     involved = involved.withColumnRenamed("a", "doc_id")
     sets = stored(_sets(docs.join(involved, "doc_id", "left_semi"), size), "jaccard-sets")
 
@@ -232,9 +244,10 @@ def link_groups(docs: DataFrame, percent: int = 90, size: int = 3, few: int = FE
         return df.join(named, key, "left").withColumn(name, F.coalesce(name, key))
 
     apart = grouped(grouped(near, "a", "ga"), "b", "gb").where("ga <> gb").select("a", "b", "need", "n")
-    mixed = grouped(frequent.select("shingle", "use", F.col("use.doc").alias("doc")), "doc", "g")
+    mixed = grouped(frequent.select("shingle", "doc", "info"), "doc", "g")
     several = mixed.groupBy("shingle").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most")
-    mixed = mixed.join(several.select("shingle"), "shingle", "left_semi").select("shingle", "use", "g")
+    mixed = mixed.join(several.select("shingle"), "shingle", "left_semi")
+    mixed = mixed.select("shingle", F.struct("doc", "info").alias("use"), "g")
     x, y = mixed.alias("x"), mixed.alias("y")
     far = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.g") < F.col("y.g")))
     far = far.where(_may_link(F.col("x.use"), F.col("y.use"), percent))

@@ -6,9 +6,9 @@ Two documents are linked when ``100 * intersection >= percent * union`` of their
 2. Shingles are put in one order for all documents: shingles known to be frequent last, by
    frequency, the rest by hash. In that order, linked documents share a shingle among the
    first n - ceil(t n) + 1 of each (the prefix); and m shingles among the first
-   n - ceil(t n) + m (a multi-match prefix). A document whose prefix holds frequent shingles
-   has many candidates: it takes the m for which the sum of frequencies over its prefix,
-   divided by m, is least. A pair must share as many as the smaller m of the two says.
+   n - ceil(t n) + m (a multi-match prefix). A document takes the m for which its prefix and
+   its estimated candidates, the sum of frequencies over the prefix divided by m, are
+   fewest; frequent shingles in a prefix make m large. A pair must share as many as the smaller m of the two says.
 3. Documents that share a rare prefix shingle are compared in pairs. The users of a frequent
    one are first compared with one of them only. Only pairs that the links found so far do
    not already hold together are then looked at, all of them.
@@ -32,7 +32,7 @@ from .components import components
 from .store import stored
 
 #: Frequent shingles that are told apart in the order; a fixed number, it bounds what is sent to tasks.
-ORDERED = 1 << 16
+ORDERED = 1 << 18
 #: Longest multi-match; users of a shingle up to which all of its pairs are candidates at once.
 MOST_MATCHES, FEW = 8, 8
 
@@ -60,7 +60,7 @@ def shingles(column, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(row, np.arange(rows + 1))
 
 
-def _facts(docs: DataFrame, size: int, often: int = 3) -> DataFrame:
+def _facts(docs: DataFrame, size: int, often: int = 2) -> DataFrame:
     """A row per document (n_shingles, signature of the set) and per shingle common within a batch (times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,24 +95,25 @@ def _prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, ti
         frequent, times = sent.value
         for table in W.batches(batches):
             hashes, first = shingles(table["text"], size)
-            cost = np.zeros(len(hashes))
+            cost = np.ones(len(hashes))
             if len(frequent):
                 at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-                cost = np.where(frequent[at] == hashes, times[at], 0)
+                cost = np.where(frequent[at] == hashes, times[at], 1)
             matches, chosen = [], []
             for a, b in zip(first[:-1], first[1:], strict=True):
                 n = int(b - a)
                 base = n - (percent * n + 99) // 100 + 1
                 h, c = hashes[a:b], cost[a:b]
-                cold = h[c == 0]
-                m = min(1, n)
-                if len(cold) < base:
-                    order = np.lexsort((h, c))
-                    h = h[order]
-                    spent = np.cumsum(c[order])[base - 1 : base + MOST_MATCHES - 1]
-                    m = int(np.argmin(spent / np.arange(1, len(spent) + 1))) + 1 if n else 0
+                cold = c == 1
+                if cold.sum() >= min(n, base + MOST_MATCHES - 1):
+                    h, c = h[cold], c[cold]
                 else:
-                    h = cold
+                    order = np.lexsort((h, c))
+                    h, c = h[order], c[order]
+                # rows of the index, and candidates: users of the prefix, fewer with every match more
+                sizes = np.arange(base, min(n, base + MOST_MATCHES - 1) + 1)
+                spent = sizes + np.cumsum(c)[sizes - 1] / (sizes - base + 1) if n else [0]
+                m = int(np.argmin(spent)) + 1 if n else 0
                 chosen.append(h[: base + m - 1] if n else h)
                 matches.append(m)
             ends = np.cumsum([0, *map(len, chosen)])
@@ -225,16 +226,19 @@ def link_groups(docs: DataFrame, percent: int = 90, size: int = 3, few: int = FE
     )
     near = lists.select(F.explode(found).alias("p")).select("p.*").groupBy("a", "b", "need").agg(F.count("*").alias("n"))
     near = stored(near, "jaccard-near")
-    led = frequent.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"))
-    led = led.groupBy("a", "b").agg(F.count("*").alias("n"))
+    # a guess that spares most comparisons in large groups; what it misses is looked at below
+    led = frequent.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"), "info")
+    led = led.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("info").alias("info"))
+    led = led.where(2 * F.col("n") >= F.shiftright("info", 4).bitwiseAND(F.lit(15).cast("long"))).select("a", "b", "n")
+    first = near.where("n >= need").select("a", "b", "n").union(led)
+    first = first.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    first = stored(first, "jaccard-first")
 
-    # texts that may need to be compared at all
-    involved = near.select("a").union(near.select("b")).union(frequent.select("doc")).distinct()
-    involved = involved.withColumnRenamed("a", "doc_id")
-    sets = stored(_sets(docs.join(involved, "doc_id", "left_semi"), size), "jaccard-sets")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return stored(_sets(docs.join(ids.distinct(), "doc_id", "left_semi"), size), "jaccard-sets")
 
-    first = near.where("n >= need").select("a", "b", "n").union(led.select("a", "b", "n"))
-    first = first.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    likely = near.where("n >= need").select(F.explode(F.array("a", "b")).alias("doc_id"))
+    sets = texts_of(likely.union(first.select(F.explode(F.array("a", "b")))))
     links = stored(_verified(first, sets, percent), "jaccard-links")
     groups = components(links)
 
@@ -254,9 +258,13 @@ def link_groups(docs: DataFrame, percent: int = 90, size: int = 3, few: int = FE
     far = far.select(_pair(F.col("x.use"), F.col("y.use")).alias("p")).select("p.*")
     far = far.groupBy("a", "b", "need").agg(F.count("*").alias("n"))
     rest = apart.union(far).groupBy("a", "b", "need").agg(F.sum("n").alias("n")).where("n >= need").select("a", "b")
-    rest = stored(_verified(rest.join(first, ["a", "b"], "left_anti"), sets, percent), "jaccard-links")
+    rest = stored(rest.join(first, ["a", "b"], "left_anti"), "jaccard-rest")
+    more = rest.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    more = more.join(sets.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti")
+    if not more.isEmpty():
+        sets = sets.union(texts_of(more))
     if not rest.isEmpty():
-        groups = components(links.union(rest))
+        groups = components(links.union(stored(_verified(rest, sets, percent), "jaccard-links")))
 
     named = classes.join(groups.withColumnRenamed("node", "doc"), "doc", "left")
     named = named.select("n_shingles", "sign", F.coalesce("component", "doc").alias("component"))

@@ -32,7 +32,7 @@ from .components import components
 from .store import stored
 
 #: Frequent shingles that are told apart in the order; a fixed number, it bounds what is sent to tasks.
-ORDERED = 1 << 18
+ORDERED = 1 << 16
 #: Longest multi-match; users of a shingle up to which all of its pairs are candidates at once.
 MOST_MATCHES, FEW = 8, 8
 
@@ -60,7 +60,7 @@ def shingles(column, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(row, np.arange(rows + 1))
 
 
-def _facts(docs: DataFrame, size: int, often: int = 2) -> DataFrame:
+def _facts(docs: DataFrame, size: int, often: int = 3) -> DataFrame:
     """A row per document (n_shingles, signature of the set) and per shingle common within a batch (times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -472,7 +472,7 @@ SELECT job_link, {state_case(longest_first=True)} AS state FROM us""",
     "state_resolution": resolution(state_case()),
     "unresolved_locations": f"""WITH {LOCATED}
 SELECT job_location, count(*) AS job_count FROM located WHERE state IS NULL AND job_location IS NOT NULL
-GROUP BY 1 {top_tail('job_location', 20)}""",
+GROUP BY 1""",
     "state_top": f"""WITH {LOCATED}
 SELECT state, count(*) AS job_count, {pct_even('count(*)', 'SELECT count(*) FROM located', 1)} AS percentage
 FROM located WHERE state <> 'NON_US' GROUP BY 1 {top_tail('state', 15)}""",

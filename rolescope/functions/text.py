@@ -28,11 +28,15 @@ def as_col(c: ColumnLike) -> Column:
 
 
 def any_of(tests: Iterable[Column]) -> Column:
-    return reduce(or_, tests)
+    """True if any test is; no test at all is false."""
+    return reduce(or_, tests, F.lit(False))
 
 
 def text_array(values: Iterable[str]) -> Column:
     """A constant array; Spark folds it before execution."""
+    values = list(values)
+    if not values or any("\n" in v for v in values):
+        return F.array(*map(F.lit, values)).cast("array<string>")
     return F.split(F.lit("\n".join(values)), "\n")
 
 

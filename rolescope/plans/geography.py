@@ -40,7 +40,8 @@ def state_resolution(located: DataFrame) -> DataFrame:
     )
 
 
-def unresolved_locations(located: DataFrame, k: int | None = 20) -> DataFrame:
+def unresolved_locations(located: DataFrame, k: int | None = None) -> DataFrame:
+    """Locations without a state and their adverts: all of them, or the k most frequent."""
     gaps = located.filter(F.col("state").isNull() & F.col("job_location").isNotNull())
     counts = value_counts(gaps, "job_location")
     return top(counts, k, "job_count", "job_location") if k else counts

@@ -1,11 +1,17 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words.
 
-Texts are cut into pieces by the tokenizer's pattern. A batch of documents becomes one row
-with its distinct pieces as arrays of byte ids and its documents as lists of piece numbers.
-Spark folds the merges over each distinct piece: a step looks up all neighbouring pairs in
-a literal rank map and joins the leftmost pair of lowest rank. The map is a literal array
-of slots; a pair is in one of two slots (remainders by two primes). Documents then take
-their ids from their pieces. Decoding concatenates the tokens' bytes.
+Texts are cut into pieces by the tokenizer's pattern, and Spark folds the merges over each
+distinct piece: a step looks up all neighbouring pairs in a literal rank map and joins the
+leftmost pair of lowest rank. The map is a literal array of slots; a pair is in one of two
+slots (remainders by two primes).
+
+1. Pieces that several batches of documents hold are counted over the table, and the most
+   frequent are folded once. Their number is bounded, so they are sent to all tasks.
+2. A batch of documents becomes one row with its documents as lists of piece numbers, the
+   pieces folded before, and the others as arrays of byte ids, which Spark folds there.
+   Documents then take their ids from their pieces.
+
+Decoding concatenates the tokens' bytes.
 """
 
 from __future__ import annotations
@@ -22,10 +28,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from . import words as W
+from .store import stored
 
 #: Text in a row of pieces. Pieces of more bytes than LONG are merged with a heap, which
 #: takes n log n steps where the fold takes n * n; the merges are the same.
 ROW_BYTES, LONG = 4 << 20, 48
+#: Pieces folded once for all batches, at most; what a task counts before it passes counts on.
+FREQUENT, HELD = 1 << 20, 200_000
 NONE = 1 << 20  # rank of a pair that does not merge
 
 
@@ -148,7 +157,86 @@ def merge_long(piece: list[int], pairs: dict[int, int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+def _piece_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of pieces one after another, where each begins and the last ends, and their hashes."""
+    ends = np.cumsum([0, *map(len, raw)])
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    hashed = W.spans_hash(W.BYTE_VALUES[data], ends[:-1], ends[1:])
+    return data, ends, W.mix(hashed + np.diff(ends).astype(np.uint64))
+
+
+class Folded:
+    """Pieces, as byte ids, with the ids they merge to, in order of their hashes."""
+
+    def __init__(self, pieces: list[bytes], ids: pa.ListArray):
+        hashes = _piece_hashes(pieces)[2]
+        order = np.argsort(hashes, kind="stable")
+        self.data, self.ends, self.hashes = _piece_hashes([pieces[i] for i in order])
+        ids = ids.take(pa.array(order))
+        self.id_ends, self.ids = np.asarray(ids.offsets), np.asarray(ids.flatten())
+
+    def add_to(self, whole: list, short: list[bytes], at: list[int]) -> list[int]:
+        """Sets ``whole[at]`` for the pieces that are held; returns the numbers of the others."""
+        if not len(self.hashes) or not short:
+            return list(range(len(short)))
+        data, ends, hashes = _piece_hashes(short)
+        slot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        size = np.diff(ends)
+        same = (self.hashes[slot] == hashes) & (self.ends[slot + 1] - self.ends[slot] == size)
+        hit = np.flatnonzero(same)
+        if len(hit):  # the bytes confirm
+            length = size[hit]
+            equal = data[W.runs(ends[hit], length)] == self.data[W.runs(self.ends[slot[hit]], length)]
+            same[hit] = np.logical_and.reduceat(equal, np.cumsum(length) - length)
+        for i in np.flatnonzero(same).tolist():
+            k = slot[i]
+            whole[at[i]] = self.ids[self.id_ends[k] : self.id_ends[k + 1]].tolist()
+        return np.flatnonzero(~same).tolist()
+
+
+def fold_frequent(docs: DataFrame, ranks: dict[bytes, int], table: PairTable, pattern: str, most: int) -> Folded:
+    """The pieces that most batches hold, at most ``most`` and none that one batch alone holds, folded once each."""
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    byte_ids = bytes(ranks[bytes([i])] for i in range(256))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, cut, held = sent.value, regex.compile(pattern).findall, {}
+
+        def passed_on() -> pa.RecordBatch:
+            columns = [pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["piece", "times"])
+
+        for texts in W.batches(batches, most=ROW_BYTES):
+            for piece in set().union(*(cut(text or "") for text in texts["text"].to_pylist())):
+                raw = piece.encode()
+                if len(raw) <= LONG and raw not in ranks:
+                    raw = raw.translate(byte_ids)
+                    held[raw] = held.get(raw, 0) + 1
+            if len(held) >= HELD:
+                yield passed_on()
+                held.clear()
+        yield passed_on()
+
+    counted = docs.select("text").mapInArrow(count, "piece binary, times long")
+    counted = stored(counted.groupBy("piece").agg(F.sum("times").alias("times")).where("times > 1"), "bpe-pieces")
+    top = F.lit(1 << 16).cast("long")
+    shape = counted.groupBy(F.least("times", top).alias("times")).count().collect()  # at most ``top`` rows
+    least, pieces = None, 0
+    for r in sorted(shape, reverse=True):
+        if pieces + r["count"] > most:
+            break
+        least, pieces = r.times, pieces + r["count"]
+    if not pieces:
+        return Folded([], pa.array([], pa.list_(pa.int32())))
+    letters = F.filter(F.split(F.decode("piece", "ISO-8859-1"), ""), lambda c: c != "")
+    ids = F.transform(letters, lambda c: F.ascii(c))
+    fold = let(table.literal(), lambda slots: let(ids, lambda piece: merged(piece, table, slots)))
+    rows = counted.where(F.col("times") >= least).repartition(-(-pieces // 8192))
+    rows = rows.select("piece", fold.alias("ids")).toArrow().combine_chunks()
+    return Folded(rows["piece"].to_pylist(), rows["ids"].combine_chunks())
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most_frequent: int = FREQUENT) -> DataFrame:
     """doc_id, ids (array<int>): one row per document.
 
     Ids are those of the rank file, without special tokens; a piece that is a token as a
@@ -156,11 +244,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     one by one, whatever their doc_id is; other columns are not passed on.
     """
     pairs = pair_ranks(ranks)
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, pairs))
+    table = PairTable(pairs)
+    folded = fold_frequent(docs, ranks, table, pattern, most_frequent)
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, pairs, folded))
     byte_ids = bytes(ranks[bytes([i])] for i in range(256))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, pairs = sent.value
+        ranks, pairs, folded = sent.value
         cut = regex.compile(pattern).findall
         for table in W.batches(batches, most=ROW_BYTES):
             numbers: dict[str, int] = {}
@@ -168,7 +258,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             for text in table["text"].to_pylist():
                 codes += [numbers.setdefault(p, len(numbers)) for p in cut(text or "")]
                 ends.append(len(codes))
-            whole, short = [], []
+            whole, short, at = [], [], []
             for piece in numbers:
                 raw = piece.encode()
                 rank = ranks.get(raw)
@@ -178,10 +268,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                 elif len(raw) > LONG:
                     whole.append(merge_long(list(ids), pairs))
                 else:
+                    at.append(len(whole))
                     whole.append(None)
-                    short.append(np.frombuffer(ids, np.uint8))
+                    short.append(ids)
+            short = [short[i] for i in folded.add_to(whole, short, at)]
             sizes = np.cumsum([0, *map(len, short)])
-            flat = np.concatenate(short) if short else np.zeros(0)
+            flat = np.frombuffer(b"".join(short), np.uint8)
             short = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat.astype(np.int32)))
             whole = pa.array(whole, pa.list_(pa.int32()))
             row = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
@@ -217,7 +309,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
     kinds = "docs array<bigint>, ends array<int>, codes array<int>, whole array<array<int>>, short array<array<int>>"
     rows = docs.select("doc_id", "text").mapInArrow(split, kinds)
-    table = PairTable(pairs)
     # bound once: the literal is long, and Spark works on every mention of it
     fold = let(table.literal(), lambda slots: F.transform("short", lambda piece: merged(piece, table, slots)))
     rows = rows.withColumn("short", fold)
@@ -225,7 +316,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``rows`` (doc_id, ids) with bytes, the tokens' bytes one after another. Null ids give null."""
+    """``rows`` (doc_id, ids) with bytes, the tokens' bytes one after another, and packed,
+    the ids as little-endian 32-bit numbers. Null ids give null."""
     ordered = [b""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         ordered[i] = token
@@ -236,18 +328,17 @@ def decode(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, start, length = sent.value
         for batch in batches:
-            raw = []
+            raw, packed = [], []
             for i in range(batch.num_rows):
                 ids = batch["ids"][i].values
                 if ids is not None:
                     ids = np.asarray(ids)
-                    ids = pieces[W.runs(start[ids], length[ids])].tobytes()
-                raw.append(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["ids"], pa.array(raw, pa.binary())], ["doc_id", "ids", "bytes"]
-            )
+                raw.append(None if ids is None else pieces[W.runs(start[ids], length[ids])].tobytes())
+                packed.append(None if ids is None else ids.astype("<u4").tobytes())
+            columns = [batch["doc_id"], batch["ids"], pa.array(raw, pa.binary()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "bytes", "packed"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary")
+    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary, packed binary")
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,24 +81,13 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), rules)
 
 
-def _id_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = [None if x is None else np.asarray(x.values).astype("<u4").tobytes() for x in batch["ids"]]
-        columns = [batch["doc_id"], batch["ids"], batch["bytes"], pa.array(packed, pa.binary())]
-        yield pa.RecordBatch.from_arrays(
-            [columns[0], pa.array([len(x) // 4 for x in packed], pa.int64()), columns[3], columns[2]],
-            ["doc_id", "n_tokens", "packed", "bytes"],
-        )
-
-
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path(RANKS))
     coded = byte_bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
     decoded = byte_bpe.decode(coded, ranks)
-    digests = decoded.mapInArrow(_id_digests, "doc_id long, n_tokens long, packed binary, bytes binary")
-    return digests.select(
+    return decoded.select(
         "doc_id",
-        "n_tokens",
+        F.size("ids").cast("long").alias("n_tokens"),
         F.sha2("packed", 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
     )

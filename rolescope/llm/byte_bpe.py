@@ -34,7 +34,7 @@ from .store import stored
 #: takes n log n steps where the fold takes n * n; the merges are the same.
 ROW_BYTES, LONG = 4 << 20, 48
 #: Pieces folded once for all batches, at most; what a task counts before it passes counts on.
-FREQUENT, HELD = 1 << 20, 200_000
+FREQUENT, HELD = 1 << 19, 200_000
 NONE = 1 << 20  # rank of a pair that does not merge
 
 

@@ -327,6 +327,26 @@ def ranks():
     return byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def test_pieces_folded_for_all_batches(spark, ranks):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdeé \0ß", k=rng.randrange(2, 14))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=30)) for _ in range(40)]
+    encoding = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "4")
+    try:
+        for most in (byte_bpe.FREQUENT, 40, 0):
+            out = byte_bpe.encode(df, ranks, public_tokenizers.PATTERN, most).collect()
+            assert {r.doc_id: r.ids for r in out} == {i: encoding.encode_ordinary(t) for i, t in enumerate(texts)}
+        table = byte_bpe.PairTable(byte_bpe.pair_ranks(ranks))
+        held = [len(byte_bpe.fold_frequent(df, ranks, table, public_tokenizers.PATTERN, m).hashes) for m in (1000, 40, 0)]
+        assert held[0] > 40 >= held[1] >= held[2] == 0
+    finally:
+        spark.conf.set(rows, before)
+
+
 def test_bpe_is_tiktoken(spark, docs, rows, ranks, empty):
     tokenizer = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     data = rows + [(950_000, "it's we'll  \n\n  x<|endoftext|> ０１２ ½ ！？" + "!?" * 200), (950_001, "thequick" * 90)]

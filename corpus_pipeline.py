@@ -36,9 +36,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of linked ones; null doc_ids stay."""
+    """One document, the one with the smallest doc_id, of each group of linked ones; null doc_ids stay.
+
+    Linked are those whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
     _ready(spark)
-    groups = jaccard_join.link_groups(docs)
+    groups = jaccard_join.link_groups(docs, percent=80, size=5)
     copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 

@@ -110,6 +110,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(
         "doc_id",
         F.col("place").cast("long").alias("place"),
+        F.col("nth").cast("long").alias("nth"),
         F.length("candidate").cast("long").alias("length"),
         F.sha2("candidate", 256).alias("candidate_sha256"),
         "probability",

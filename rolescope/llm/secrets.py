@@ -1,6 +1,7 @@
 """Secret scan: candidates by form, false positives removed by a random forest.
 
-A candidate is a run of at least 16 characters of ``[A-Za-z0-9_+/-]`` with a digit in it.
+A candidate is a run of at least 16 characters of ``[A-Za-z0-9_+/-]`` with a digit in it;
+a word between blanks may hold several, and each is judged by itself.
 The forest judges it by its length, the changes between kinds of characters, how much of it
 common words cover, whether it is part of a path, and the words around it. It is trained on
 labelled findings. All features are Spark expressions, the forest is Spark's own.
@@ -18,7 +19,8 @@ from ..functions.text import let
 from .quality import word_list
 from .store import stored
 
-CORE = r"[A-Za-z0-9_+/\-]{16,}"
+#: A whole run, from its first character on, that has a digit.
+RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}"
 # Words that stand beside secrets, and beside numbers and digests that are none.
 SECRET_WORDS = r"(?i)token|secret|passw|pwd|api.?key|access.?key|credential|bearer|auth"
 OTHER_WORDS = r"(?i)commit|sha-?[0-9]|md5|hash|digest|uuid|card|order|invoice|account|phone|iban|version"
@@ -40,11 +42,16 @@ FEATURES = (
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """doc_id, place (number of the word), candidate, before, after: a row a candidate."""
+    """doc_id, place (number of the word), nth (of the word's candidates, from 0), candidate, before, after: a row a candidate.
+
+    ``before`` reaches back over two words or, in the same word, to the beginning of the
+    candidate before; ``after`` to the end of the next word or candidate. So the rows of a
+    word with very many candidates stay as long as the word, not as long as its square.
+    """
 
     def found(words: Column) -> Column:
         places = F.filter(
-            F.transform(words, lambda w, i: F.when((F.length(w) >= 16) & w.rlike("[0-9]") & w.rlike(CORE), i)),
+            F.transform(words, lambda w, i: F.when((F.length(w) >= 16) & w.rlike("[0-9]") & w.rlike(RUN), i)),
             lambda i: i.isNotNull(),
         )
         return F.transform(
@@ -53,16 +60,35 @@ def findings(docs: DataFrame) -> DataFrame:
                 i.alias("place"),
                 F.get(words, i).alias("word"),
                 F.concat_ws(" ", F.get(words, F.greatest(i - 2, F.lit(-1))), F.get(words, i - 1)).alias("lead"),
-                F.coalesce(F.get(words, i + 1), F.lit("")).alias("after"),
+                F.coalesce(F.get(words, i + 1), F.lit("")).alias("next"),
+            ),
+        )
+
+    def parts(word: Column) -> Column:
+        return F.struct(
+            F.regexp_extract_all(word, F.lit(RUN), F.lit(0)).alias("runs"), F.split(word, RUN, -1).alias("gaps")
+        )
+
+    def judged(p: Column) -> Column:
+        runs, gaps = p["runs"], p["gaps"]
+        return F.transform(
+            runs,
+            lambda run, i: F.struct(
+                i.alias("nth"),
+                run.alias("candidate"),
+                F.concat(
+                    F.when(i == 0, F.concat("lead", F.lit(" "))).otherwise(F.get(runs, i - 1)), F.get(gaps, i)
+                ).alias("before"),
+                F.concat(
+                    F.get(gaps, i + 1),
+                    F.when(i == F.size(runs) - 1, F.concat(F.lit(" "), F.col("next"))).otherwise(F.get(runs, i + 1)),
+                ).alias("after"),
             ),
         )
 
     rows = docs.select("doc_id", F.explode(let(word_list(F.col("text")), found)).alias("f")).select("doc_id", "f.*")
-    core = F.regexp_extract("word", rf"^(.*?)({CORE})(.*)$", 2)
-    before = F.concat("lead", F.lit(" "), F.regexp_extract("word", rf"^(.*?)({CORE})(.*)$", 1))
-    after = F.concat(F.regexp_extract("word", rf"^(.*?)({CORE})(.*)$", 3), F.lit(" "), F.col("after"))
-    rows = rows.select("doc_id", "place", core.alias("candidate"), before.alias("before"), after.alias("after"))
-    return rows.where(F.col("candidate").rlike("[0-9]"))
+    rows = rows.select("doc_id", "place", F.explode(let(parts(F.col("word")), judged)).alias("c"))
+    return rows.select("doc_id", "place", "c.*")
 
 
 def with_features(rows: DataFrame) -> DataFrame:
@@ -95,7 +121,7 @@ def with_features(rows: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, trees: int = 20, depth: int = 6) -> DataFrame:
-    """One row per candidate: doc_id, place, candidate, probability, secret (at least one half).
+    """One row per candidate: doc_id, place, nth, candidate, probability, secret (at least one half).
 
     ``labelled``: candidate, before, after, label (1 secret, 0 not); at most ``sample`` rows,
     evenly drawn by a hash, train the forest. Without labels of both kinds nothing can be told
@@ -106,7 +132,7 @@ def scan(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, trees: int
     known = labelled.where("label is not null and candidate is not null").select("candidate", "before", "after", "label")
     known = known.orderBy(F.xxhash64("candidate", "before", "after"), "candidate", "before", "after", "label").limit(sample)
     known = stored(known, "secret-labels")
-    kept = ["doc_id", "place", "candidate"]
+    kept = ["doc_id", "place", "nth", "candidate"]
     if known.select("label").distinct().count() < 2:
         return rows.select(*kept, F.lit(1.0).alias("probability"), F.lit(True).alias("secret"))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")

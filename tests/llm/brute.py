@@ -65,6 +65,35 @@ def groups(rows, percent=90, size=3):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
+def line_templates(line):
+    """(template, texts it takes) of a line by the pipeline's rules."""
+    bare = words(line)
+    w = ["<*>" if re.search("[0-9]", x) else x for x in bare]
+    if len(w) < 4:
+        return [(("whole", *(bare if set(w) == {"<*>"} else w)), 10)] if w else []
+    out = [(("whole", *w), 3)]
+    if len(w) >= 12:
+        ends = [2 + (len(w) - 2) * i // 4 for i in range(5)]
+        out += [((i, len(w), *w[:a], "...", *w[b:]), 3) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+    return out
+
+
+def recurring_lines_left(rows):
+    """The texts by doc_id without the lines whose template recurs; the first text, by doc_id, keeps its own."""
+    first, holders = {}, defaultdict(set)
+    for d, text in sorted(rows):
+        first.setdefault(text, d)
+    for text in first:
+        for line in text.split("\n"):
+            for template, _ in line_templates(line):
+                holders[template].add(text)
+    keeper = {t: min(texts, key=first.get) for t, texts in holders.items()}
+    gone = lambda text, line: any(
+        len(holders[t]) >= least and keeper[t] != text for t, least in line_templates(line)
+    )
+    return {d: "\n".join(x for x in text.split("\n") if not gone(text, x)) for d, text in rows}
+
+
 def measures(text):
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = text or ""

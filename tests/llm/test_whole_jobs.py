@@ -75,3 +75,30 @@ def test_secrets_behind_names_and_paths_are_reported(spark):
     ]
     out = secrets.scan(spark.createDataFrame(data, "doc_id long, text string"), labelled).collect()
     assert sorted((r.doc_id, r.nth, r.secret) for r in out) == [(1, 0, True), (2, 0, True), (2, 1, True), (3, 0, False)]
+
+
+def lines_dropped(spark, rows):
+    """Lines that the pipeline's stage takes out, by doc_id; what is left agrees with the plain version."""
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, df, SMALL).collect()}
+    assert left == brute.recurring_lines_left(rows)
+    return {d: [x for x in text.split("\n") if x not in left[d].split("\n")] for d, text in rows}
+
+
+def test_lines_of_one_to_three_words_recur(spark):
+    rows = [
+        (i, f"a text {'abcdefghijkl'[i]} of its very own\nAll rights reserved.\nPage {i}\n{i}\n\n{'Nine' if i < 9 else 'x'}\nEnd")
+        for i in range(12)
+    ]
+    gone = lines_dropped(spark, rows)
+    assert gone[0] == []
+    for i in range(1, 12):
+        # numbers alone share nothing, and nine texts are too few for a short line
+        assert {"All rights reserved.", f"Page {i}", "End"} <= set(gone[i]) and not {"Nine", "x", str(i), ""} & set(gone[i])
+
+
+def test_line_stage_of_the_small_table(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, SMALL).collect()}
+    assert out == brute.recurring_lines_left(rows) and out != dict(rows)

@@ -36,8 +36,8 @@ def fold(parts: int) -> Column:
 
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    # its SQL twin leaves lines of under four tokens alone
-    out = line_dedup.drop_recurring(table(spark, folder, "documents"), short_lines=False)
+    # its SQL twin leaves lines of under four tokens alone, and opens no single tokens
+    out = line_dedup.drop_recurring(table(spark, folder, "documents"), short_lines=False, open_tokens=False)
     return out.select(
         "doc_id",
         "n_lines",

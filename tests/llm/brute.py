@@ -75,6 +75,8 @@ def line_templates(line):
     if len(w) >= 12:
         ends = [2 + (len(w) - 2) * i // 4 for i in range(5)]
         out += [((i, len(w), *w[:a], "...", *w[b:]), 3) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+    elif len(w) > 4 and sum(x != "<*>" for x in w) > 1:
+        out += [((i, len(w), *w[:i], "...", *w[i + 1 :]), 10) for i in range(2, len(w))]
     return out
 
 

@@ -97,6 +97,16 @@ def test_lines_of_one_to_three_words_recur(spark):
         assert {"All rights reserved.", f"Page {i}", "End"} <= set(gone[i]) and not {"Nine", "x", str(i), ""} & set(gone[i])
 
 
+def test_short_lines_with_a_changing_name_recur(spark):
+    names = "Anna Bob Carl Dora Emil Fred Gina Hans Ines Jan Kai Lea".split()
+    rows = [
+        (i, f"own text {a * 3} {a * 2} {a}\nPosted by {a} in News today\nfew say {a if i < 9 else a * 2 + ' x'} here now\n1 2 {a} 3 4")
+        for i, a in enumerate(names)
+    ]
+    gone = lines_dropped(spark, rows)
+    assert gone[0] == [] and all(gone[i] == [f"Posted by {names[i]} in News today"] for i in range(1, 12))
+
+
 def test_line_stage_of_the_small_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]

@@ -3,8 +3,10 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from rolescope.llm import secrets
+from rolescope.llm import secrets, toxicity
 
 from . import brute
 
@@ -112,3 +114,17 @@ def test_line_stage_of_the_small_table(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     out = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, SMALL).collect()}
     assert out == brute.recurring_lines_left(rows) and out != dict(rows)
+
+
+def test_one_long_text_does_not_end_the_training_sample(spark):
+    ids = spark.range(60).select(F.col("id").alias("doc_id"))
+    order = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    long = {order[0]: 9 << 20, order[20]: 5 << 20, order[40]: 4 << 20}
+    texts = ids.select("doc_id", F.concat(F.lit("text "), F.col("doc_id")).alias("text"))
+    for d, size in long.items():
+        texts = texts.withColumn("text", F.when(F.col("doc_id") == d, F.repeat(F.lit("x"), size)).otherwise(F.col("text")))
+    labels = ids.withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
+    got, toxic = toxicity.sample(texts, labels, F.lit(True), 4000, 8 << 20)
+    expected = [d for d in order if d not in (order[0], order[40])]
+    assert [len(t) for t in got] == [long.get(d, len(f"text {d}")) for d in expected]
+    assert toxic == [d % 2 for d in expected]

@@ -67,7 +67,8 @@ STAGES = [
     ("byte_bpe", tokenize),
 ]
 
-#: No stage's model or hashing can be said in SQL; tests/llm holds run() against brute force.
+#: No stage's model or hashing can be said in SQL. tests/llm/test_whole_jobs.py holds what run() makes of
+#: the documents that the first stage, a trained model, has kept against brute force.
 ORACLE_SQL = None
 
 

@@ -6,6 +6,8 @@ import re
 from collections import Counter, defaultdict
 from math import log10
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FOLD = str.maketrans(UPPER, UPPER.lower())
@@ -143,6 +145,29 @@ def best_alignment(passage, item):
     return best
 
 
+def alnum_words(text):
+    return words(re.sub("[^0-9A-Za-z\x80-\U0010ffff]", " ", text or ""), fold=True)
+
+
+def alignments(rows, items, least=0.4):
+    """Share of an exact copy's score by (doc_id, item_id), of every item in every text, where it is ``least`` or more."""
+    number = defaultdict(lambda: len(number))
+    kept = [(i, [number[w] for w in alnum_words(t)]) for i, t in items]
+    kept = [(i, w) for i, w in kept if len(w) >= 3]
+    longest = max(len(w) for _, w in kept)
+    table = np.array([w + [-1] * (longest - len(w)) for _, w in kept])
+    columns, full = np.arange(1, longest + 1), np.array([2 * len(w) for _, w in kept])
+    out = {}
+    for d, text in rows:
+        row, top = np.zeros((len(kept), longest + 1), dtype=np.int64), np.zeros(len(kept), dtype=np.int64)
+        for word in alnum_words(text):
+            step = np.maximum(row[:, :-1] + np.where(table == number.get(word, -2), 2, -1), row[:, 1:] - 1)
+            row[:, 1:] = np.maximum.accumulate(np.maximum(step, 0) + columns, axis=1) - columns
+            top = np.maximum(top, row.max(axis=1))
+        out |= {(d, i): share for (i, _), share in zip(kept, top / full, strict=True) if share >= least}
+    return out
+
+
 def url_parts(url):
     if url is None or "://" not in url:
         return "", ""

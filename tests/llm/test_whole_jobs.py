@@ -3,10 +3,14 @@
 import random
 import re
 
+import public_tokenizers
+import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rolescope.llm import secrets, toxicity
+from rolescope.llm import byte_bpe, secrets, toxicity
+from rolescope.llm.queries import QUERIES
 
 from . import brute
 
@@ -128,3 +132,66 @@ def test_one_long_text_does_not_end_the_training_sample(spark):
     expected = [d for d in order if d not in (order[0], order[40])]
     assert [len(t) for t in got] == [long.get(d, len(f"text {d}")) for d in expected]
     assert toxic == [d % 2 for d in expected]
+
+
+def pairs(df, *names):
+    return [tuple(r) for r in df.select(*names).collect()]
+
+
+def plain_stages(rows, items):
+    """Text by doc_id after each of the stages between the first and the last."""
+    lines = brute.recurring_lines_left(rows)
+    groups = brute.groups(lines.items(), percent=80, size=5)
+    single = {d: lines[d] for d, (_, group) in groups.items() if d == group}
+    leaked = {d for d, _ in brute.alignments(single.items(), items)}
+    return {"line_dedup": lines, "jaccard_join": single, "decontamination": {d: t for d, t in single.items() if d not in leaked}}
+
+
+def test_op4_is_plain_alignment(spark):
+    texts = dict(pairs(spark.read.parquet(f"{SMALL}/documents.parquet"), "doc_id", "text"))
+    items = dict(pairs(spark.read.parquet(f"{SMALL}/benchmark.parquet"), "item_id", "text"))
+    plain = brute.alignments(texts.items(), items.items())
+    out = QUERIES["op4_decontamination"](spark, SMALL).collect()
+    assert len(out) == len(plain) > 0
+    for r in out:
+        item, passage = brute.alnum_words(items[r.item_id]), brute.alnum_words(texts[r.doc_id])[r.start : r.end]
+        assert r.score == pytest.approx(plain[r.doc_id, r.item_id])
+        assert brute.best_alignment(passage, item) == pytest.approx(r.score * 2 * len(item))
+
+
+def test_stages_are_plain_with_planted_copies(spark):
+    rng = random.Random(12)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows, items = pairs(docs, "doc_id", "text"), pairs(spark.read.parquet(f"{SMALL}/benchmark.parquet"), "item_id", "text")
+    letters = lambda *n: "".join(chr(97 + x // 26) + chr(97 + x % 26) for x in n)  # noqa: E731  words with digits are variable
+    near, leaks = [], []
+    for k in range(8):
+        w = [f"near{letters(k, i)}" for i in range(100)]
+        near.append((10_000 + 10 * k, " ".join(w)))
+        w[rng.randrange(10, 45)], w[rng.randrange(55, 90)] = "first", "second"
+        near.append((10_001 + 10 * k, " ".join(w)))
+        item = brute.alnum_words(items[k][1])
+        for place in rng.sample(range(len(item)), len(item) // 10):
+            item[place] = "edited"
+        leaks.append((20_000 + k, " ".join([f"{letters(k, i)}a" for i in range(50)] + item + [f"{letters(k, i)}b" for i in range(50)])))
+    rows = [r for r in rows if r[1] is not None] + near + leaks
+    before = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plain = plain_stages(rows, items)
+    assert not {d for d, _ in near[1::2]} & set(plain["jaccard_join"])
+    assert not {d for d, _ in leaks} & set(plain["decontamination"])
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        after = stage(spark, before, SMALL)
+        assert dict(pairs(after, "doc_id", "text")) == plain[name], name
+        before = after
+
+
+def test_run_is_plain_after_the_trained_stage(spark):
+    clean = corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL)
+    items = pairs(spark.read.parquet(f"{SMALL}/benchmark.parquet"), "item_id", "text")
+    expected = plain_stages(pairs(clean, "doc_id", "text"), items)["decontamination"]
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = corpus_pipeline.run(spark, SMALL).collect()
+    assert len(out) == len(expected)
+    assert {r.doc_id: list(r.ids) for r in out} == {d: coder.encode_ordinary(t) for d, t in expected.items()}
+    assert all(r.n_tokens == len(r.ids) for r in out)

@@ -105,4 +105,80 @@ SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines,
 FROM documents d LEFT JOIN dropped g ON g.text = d.text
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op2_quality_rules": OP2, "op6_url_filter": OP6}
+OP11 = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM usable a JOIN usable b ON a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores
+  WHERE same AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+# crc32 byte by byte, from its table of 256 remainders
+OP12 = r"""
+WITH step AS (
+  SELECT list(list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t
+  FROM (SELECT unnest(range(0, 256)) AS b)
+), texts AS (
+  SELECT 0 AS target, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+), split AS (
+  SELECT target, doc_id, row_number() OVER () AS row,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts
+), grams AS (
+  SELECT target, doc_id, row, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT target, doc_id, row, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM split CROSS JOIN (SELECT unnest([1, 2, 3]) AS n))
+), distinct_grams AS (
+  SELECT gram, regexp_extract_all(hex(encode(gram)), '..') AS bytes FROM (SELECT DISTINCT gram FROM grams)
+), hashed AS (
+  SELECT gram, xor(list_reduce(list_transform(bytes, lambda x: CAST('0x' || x AS BIGINT)),
+                               lambda c, x: xor(t[1 + (xor(c, x) & 255)], c >> 8), 4294967295), 4294967295) % 10000 AS bucket
+  FROM distinct_grams CROSS JOIN step
+), features AS (
+  SELECT target, doc_id, row, bucket FROM grams JOIN hashed USING (gram)
+), counted AS (
+  SELECT bucket, count(*) FILTER (target = 0) AS s, count(*) FILTER (target = 1) AS t FROM features GROUP BY bucket
+), sums AS (
+  SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM counted
+), gain AS (
+  SELECT bucket, floor(1000 * ln((CAST(t AS DOUBLE) + 1) * CAST(all_s + 10000 AS DOUBLE)
+                                 / ((CAST(s AS DOUBLE) + 1) * CAST(all_t + 10000 AS DOUBLE)))) AS gain
+  FROM counted CROSS JOIN sums
+), weights AS (
+  SELECT row, count(*) AS n, sum(gain) AS weight FROM features JOIN gain USING (bucket) WHERE target = 0 GROUP BY row
+), scored AS (
+  SELECT doc_id, row, len(w) AS n_words, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+                                                         / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM split LEFT JOIN weights USING (row) WHERE target = 0
+), ordered AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS fit FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+       CASE WHEN place <= 5 * fit // 100 THEN place END AS rank
+FROM scored LEFT JOIN ordered USING (row)
+"""
+
+ORACLES = {
+    "op11_hard_negatives": OP11,
+    "op12_importance_resampling": OP12,
+    "op1_line_dedup": OP1,
+    "op2_quality_rules": OP2,
+    "op6_url_filter": OP6,
+}

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from . import (
     byte_bpe,
     decontaminate,
+    hard_negatives,
+    importance,
     jaccard_join,
     line_dedup,
     ngram_lm,
     quality,
     secrets,
+    simhash,
     substring,
     toxicity,
     url_filter,
@@ -119,6 +122,21 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows, vec_id = table(spark, folder, "embeddings"), F.col("vec_id")
+    moved = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), vec_id % 100 == 0)
+
+
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    out = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.link_groups(table(spark, folder, "documents"))
+
+
 def _held(query):
     """Runs a query with Arrow batches of few rows, set for the session."""
 
@@ -142,5 +160,8 @@ QUERIES = {
         op8_ngram_lm,
         op9_substring_dedup,
         op10_secret_scan,
+        op11_hard_negatives,
+        op12_importance_resampling,
+        op13_simhash,
     )
 }

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import HotKeys, split_join
+
 KEY = "job_link"
 
 
@@ -62,7 +64,7 @@ def enrich(
     right: DataFrame,
     key: str = KEY,
     within: DataFrame | None = None,
-    unique: bool = False,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Left outer join; a repeated right key repeats the base row.
 
@@ -70,16 +72,12 @@ def enrich(
     small Spark sends it to the scan of the right side, and texts nobody asks for are
     dropped there instead of being shuffled.
 
-    Spark can split a hot key of the left side of an outer join but not of the right. So
-    rows with a partner come from an inner join, where it can split both, and rows without
-    from an anti join. ``unique`` promises that right keys do not repeat: one join then does,
-    without a shuffle where both sides are already partitioned or bucketed by the key.
+    By itself the join reuses a partitioning by the key, and AQE splits a hot key of the base.
+    ``hot`` (``skew.hot_keys`` of these two tables) splits hot keys of both sides.
     """
     if within is not None:
         right = restrict(right, within, key)
-    if unique:
-        return base.join(right, key, "left")
-    return match(base, right, key).unionByName(exclude(base, right, key), allowMissingColumns=True)
+    return base.join(right, key, "left") if hot is None else split_join(base, right, hot, key)
 
 
 def overlap_audit(

@@ -10,7 +10,11 @@ from ..sources.files import CSV_OPTIONS
 
 
 def stream_raw_csv(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
-    options = CSV_OPTIONS | {"multiLine": "true", "maxFilesPerTrigger": str(files_per_batch)}
+    """Files of just this schema: a header that differs in names or order stops the stream.
+
+    ``arrivals.load_arrivals`` binds each file by its own header and keeps what does not fit.
+    """
+    options = CSV_OPTIONS | {"multiLine": "true", "enforceSchema": "false", "maxFilesPerTrigger": str(files_per_batch)}
     return spark.readStream.schema(schema).options(**options).csv(folder)
 
 

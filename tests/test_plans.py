@@ -11,6 +11,8 @@ from rolescope import schemas
 from rolescope.operators import repeats as R
 from rolescope.operators import keys as K
 from rolescope.operators.keys import KEY
+from rolescope.operators.skew import hot_keys as hot_keys_of
+from rolescope.operators.skew import split_join
 from rolescope.plans import cleaning, cohort, discovery, geography, handoff, quality, sensitivity, skills
 from rolescope.session import prepare
 from rolescope.sources.files import read_clean_postings, write_csv
@@ -134,10 +136,7 @@ HOT = len(range(0, 40000, 3))
     [
         (lambda hot, all_: K.restrict(hot, all_), 40000),
         (lambda hot, all_: K.exclude(hot, all_.filter("job_link like '%5'")), 40000 - 2667),
-        (lambda hot, all_: K.enrich(hot, all_, unique=True), 40000),
         (lambda hot, all_: K.enrich(hot, all_), 40000),
-        # the hot key on the right of the outer join
-        (lambda hot, all_: K.enrich(all_, hot), 40000 + HOT),
         # followed by an aggregation by the key of the join
         (lambda hot, all_: K.restrict(hot, all_).groupBy(KEY, "pad").count(), 40000),
     ],
@@ -149,11 +148,24 @@ def test_hot_key_is_split_in_joins(spark, eager_skew, join, n):
     assert joined.count() == n
 
 
-def test_hot_key_on_the_right_is_split_after_another_join(spark, eager_skew):
-    prepare(spark)
-    chained = K.enrich(K.restrict(every_key(spark), every_key(spark)), hot_keys(spark))
-    assert re.search(r"SortMergeJoin\(skew=true\).*Inner", executed(chained))
-    assert chained.count() == 40000 + HOT
+@pytest.mark.parametrize("swap", [False, True])
+def test_hot_key_of_either_side_is_dealt_into_parts(spark, no_broadcast, swap):
+    sides = [hot_keys(spark), every_key(spark)]
+    left, right = sides[::-1] if swap else sides
+    found = hot_keys_of(left, right, KEY, rows=1000)
+    assert found.parts == {"l1": (1, 14) if swap else (14, 1)}
+    joined = K.enrich(left, right, hot=found)
+    assert joined.count() == (40000 + HOT if swap else 40000)
+    # the join's own rows, by key and part: what one task reads of a key
+    spread = split_join(left, right, found, KEY, how="inner")
+    assert spread.count() == 40000
+    plan = executed(joined)
+    assert "_i" in plan and "_j" in plan and "LeftOuter" in plan
+
+
+def test_handoff_takes_five_shuffles(a, spark, no_broadcast):
+    # four more come from the join that makes the advert tables, read twice
+    assert len(re.findall(r"ShuffleQueryStage", executed(handoff.handoff_table(a.postings, a.skills, a.summaries)))) == 9
 
 
 def test_key_repeated_on_the_right_is_combined_before_the_shuffle(spark, no_broadcast):

@@ -29,8 +29,8 @@ def likely_heavy(df: DataFrame, col: str, most: int = MOST, tracked: int = TRACK
     group = F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("_g")
     sketches = values.groupBy(group).agg(F.expr(f"approx_top_k_accumulate(_v, {tracked})").alias("_s"))
     # by a constant: without a value there is no sketch to combine
-    merged = sketches.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(_s, {tracked})").alias("_s"))
-    found = merged.select(F.expr(f"approx_top_k_estimate(_s, {most})").alias("top")).first()
+    merged = sketches.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(_s, {tracked})").alias("_s"))
+    found = merged.select(F.expr(f"approx_top_k_estimate(_s, {min(most, tracked)})").alias("top")).first()
     return [item["item"] for item in found["top"] or []] if found else []
 
 

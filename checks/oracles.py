@@ -549,4 +549,6 @@ ORACLES["skills_csv_round_trip"] = ORACLES["skills_export"]
 ORACLES["postings_csv_round_trip"] = f"""SELECT * REPLACE (nullif(job_location, '') AS job_location)
 FROM ({ORACLES['postings_export']})"""
 ORACLES["summaries_streamed"] = f"""WITH {ADVERTS_SQL}
-SELECT job_link, CAST(length(job_summary) AS BIGINT) AS chars FROM job_summary"""
+SELECT job_link, md5(job_summary) AS summary_md5 FROM job_summary"""
+
+from . import loading_sql, sketches_sql  # noqa: E402, F401  add the twins of further queries

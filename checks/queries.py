@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +18,7 @@ from rolescope.operators import profile as P
 from rolescope.operators import repeats as R
 from rolescope.operators import sample as S
 from rolescope.operators import tokens as T
+from rolescope.operators.dictionary import ROWS
 from rolescope.operators.reshape import measures_to_rows
 from rolescope.operators.totals import rows_of, top
 from rolescope.plans import (
@@ -90,7 +90,8 @@ def titled(a: Adverts) -> DataFrame:
 
 
 def located(a: Adverts, **options) -> DataFrame:
-    return cleaning.with_state(clean_rows(a), **options)
+    """A row per location, with the adverts it stands for."""
+    return cleaning.locations_by_value(clean_rows(a), **options)
 
 
 # --- size and coverage ----------------------------------------------------------------
@@ -217,20 +218,18 @@ def us_cohort_size(a):
 @on_adverts
 def cleaning_cohort_overlap(a):
     """Set algebra on the keys of the skill rule and of the title rule."""
-    by_skill = cohort.skill_confirmed(a.skills, cohort.CLEANING).distinct()
-    by_title = K.key_set(a.postings, cohort.title_test("job_title", cohort.CLEANING))
-    captured = K.union_keys(by_skill, by_title)
-    families = K.subtract_keys(K.key_set(a.postings, cohort.family_test("job_title")), captured)
-    sets = {
-        "skill rule": by_skill,
-        "title rule": by_title,
-        "already captured": K.intersect_keys(by_title, by_skill),
-        "missed by skill rule": K.subtract_keys(by_title, by_skill),
-        "family, new": families,
-        "refined population": K.union_keys(captured, families),
-    }
-    parts = [s.agg(F.lit(label).alias("key_set"), P.every().alias("n")) for label, s in sets.items()]
-    return reduce(DataFrame.unionByName, parts)
+    marks = cohort.cohort_marks(a.postings, a.skills, cohort.CLEANING)
+    skill, title, family = (marks.has(x) for x in (cohort.BY_SKILL, cohort.BY_TITLE, cohort.BY_FAMILY))
+    return marks.counts(
+        {
+            "skill rule": skill,
+            "title rule": title,
+            "already captured": title & skill,
+            "missed by skill rule": title & ~skill,
+            "family, new": family & ~(skill | title),
+            "refined population": skill | title | family,
+        }
+    )
 
 
 # --- quality --------------------------------------------------------------------------
@@ -404,8 +403,9 @@ def normalized_title_variety(a):
 
 
 def _roles(a: Adverts, version: str) -> DataFrame:
-    classified = cleaning.with_role(titled(a), version)
-    return P.rounded_distribution(classified, "role_category", "job_count").orderBy(F.desc("job_count"), "role_category")
+    classified = cleaning.titles_by_value(clean_rows(a), version)
+    shares = P.rounded_distribution(classified, "role_category", "job_count", weight=ROWS)
+    return shares.orderBy(F.desc("job_count"), "role_category")
 
 
 @on_adverts
@@ -426,8 +426,7 @@ def role_final(a):
 @on_adverts
 def role_all_postings(a):
     """The final roles over every advert, in and out of the population."""
-    classified = cleaning.with_role(cleaning.clean_titles(a.postings))
-    return P.value_counts(classified, "role_category")
+    return P.value_counts(cleaning.titles_by_value(a.postings), "role_category", weight=ROWS)
 
 
 @on_adverts
@@ -437,13 +436,13 @@ def uncategorized_sample(a):
 
 @on_adverts
 def uncategorized_top(a):
-    return cleaning.uncategorized_top(cleaning.with_role(titled(a), "v2"))
+    return cleaning.uncategorized_top(cleaning.titles_by_value(clean_rows(a), "v2"), weight=ROWS)
 
 
 @on_adverts
 def pattern_counts(a):
-    leftovers = cleaning.uncategorized(cleaning.with_role(titled(a), "v2"))
-    return P.pattern_counts(leftovers, "job_title_normalized", L.LEFTOVER_PATTERNS)
+    leftovers = cleaning.uncategorized(cleaning.titles_by_value(clean_rows(a), "v2"))
+    return P.pattern_counts(leftovers, "job_title_normalized", L.LEFTOVER_PATTERNS, weight=ROWS)
 
 
 @on_adverts
@@ -509,37 +508,37 @@ def location_variety(a):
 
 @on_adverts
 def state_extract(a):
-    return located(a).select("job_link", "job_location", "location_last_part", "state")
+    return cleaning.locate(clean_rows(a)).select("job_link", "job_location", "location_last_part", "state")
 
 
 @on_adverts
 def state_extract_strict(a):
-    return located(a, strict=True).select("job_link", "state")
+    return cleaning.locate(clean_rows(a), strict=True).select("job_link", "state")
 
 
 @on_adverts
 def state_resolution_draft(a):
-    return geography.state_resolution(located(a, lookups=DRAFT_LOOKUPS))
+    return geography.state_resolution(located(a, lookups=DRAFT_LOOKUPS), ROWS)
 
 
 @on_adverts
 def state_resolution(a):
-    return geography.state_resolution(located(a))
+    return geography.state_resolution(located(a), ROWS)
 
 
 @on_adverts
 def unresolved_locations(a):
-    return geography.unresolved_locations(located(a))
+    return geography.unresolved_locations(located(a), weight=ROWS)
 
 
 @on_adverts
 def state_top(a):
-    return geography.state_top(located(a))
+    return geography.state_top(located(a), weight=ROWS)
 
 
 @on_adverts
 def state_totals(a):
-    return geography.state_totals(located(a))
+    return geography.state_totals(located(a), ROWS)
 
 
 # --- files ----------------------------------------------------------------------------
@@ -568,7 +567,7 @@ def summaries_streamed(a):
     for _ in range(2):  # the second finds nothing new
         rows = stream_raw_csv(a.spark, source, schemas.SUMMARIES)
         load_new_files(rows, target, progress).awaitTermination()
-    return a.spark.read.parquet(target).select("job_link", F.length("job_summary").cast("bigint").alias("chars"))
+    return a.spark.read.parquet(target).select("job_link", F.md5("job_summary").alias("summary_md5"))
 
 
 # --- the same operators on the test tables themselves ---------------------------------
@@ -714,3 +713,5 @@ def segment_share(t):
 
 
 QUERIES["handoff"] = QUERIES.pop("handoff_table")
+
+from . import loading, sketches  # noqa: E402, F401  register further queries

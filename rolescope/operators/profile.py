@@ -11,16 +11,19 @@ from pyspark.sql.types import StringType
 
 from ..functions.numbers import pct, pct_even, pct_text
 from ..functions.text import BROKEN_DASH, NBSP, is_blank, safe_date, unicode_regex
-from .totals import as_base, rows_of, top, with_share
+from .totals import as_base, rows_of, top, total_of, with_share
 
 
-def every() -> Column:
-    return F.count(F.lit(1))
+def every(weight: str | None = None) -> Column:
+    """Rows; with ``weight`` the rows that each row stands for."""
+    return F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(weight), F.lit(0).cast("long"))
 
 
-def count_where(test: Column) -> Column:
+def count_where(test: Column, weight: str | None = None) -> Column:
     """Rows for which the test is true; zero, not NULL, over no rows."""
-    return F.count(F.when(test, F.lit(1)))
+    if weight is None:
+        return F.count(F.when(test, F.lit(1)))
+    return F.coalesce(F.sum(F.when(test, F.col(weight))), F.lit(0).cast("long"))
 
 
 def rows_from(df: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[str]) -> DataFrame:
@@ -102,10 +105,12 @@ def removal_summary(
 # --- distributions --------------------------------------------------------------------
 
 
-def value_counts(df: DataFrame, dim: str | Column, name: str | None = None, n: str = "job_count") -> DataFrame:
+def value_counts(
+    df: DataFrame, dim: str | Column, name: str | None = None, n: str = "job_count", weight: str | None = None
+) -> DataFrame:
     """Rows per value; NULL is a value."""
     column = F.col(dim) if isinstance(dim, str) else dim
-    return df.groupBy(column.alias(name or dim)).agg(every().alias(n))
+    return df.groupBy(column.alias(name or dim)).agg(every(weight).alias(n))
 
 
 def distribution(
@@ -128,10 +133,13 @@ def rounded_distribution(
     places: int = 1,
     keep_null: bool = False,
     base=None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Rows per value with a half-even rounded share; NULL values count only on request."""
-    counts = value_counts(df if keep_null else df.filter(F.col(dim).isNotNull()), dim, n=n)
-    whole = rows_of(df) if base is None else as_base(base)
+    counts = value_counts(df if keep_null else df.filter(F.col(dim).isNotNull()), dim, n=n, weight=weight)
+    if base is None:
+        base = rows_of(df) if weight is None else total_of(df, weight)
+    whole = as_base(base)
     return counts.withColumn(share, pct_even(F.col(n), whole, places))
 
 
@@ -193,14 +201,15 @@ def missing_audit(
     col: str,
     names: Sequence[str] = ("total", "missing", "percentage_missing", "distinct_values"),
     null_only: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Rows, rows with a blank or NULL value, their share, distinct values."""
     total, missing, share, distinct = names
-    gaps = count_where(F.col(col).isNull() if null_only else is_blank(col))
+    gaps = count_where(F.col(col).isNull() if null_only else is_blank(col), weight)
     return df.agg(
-        every().alias(total),
+        every(weight).alias(total),
         gaps.alias(missing),
-        pct(gaps, every()).alias(share),
+        pct(gaps, every(weight)).alias(share),
         F.count_distinct(F.col(col)).alias(distinct),
     )
 
@@ -209,6 +218,7 @@ def temporal_coverage(
     df: DataFrame,
     col: str,
     names: Sequence[str] = ("total", "valid", "invalid", "earliest", "latest", "distinct_dates"),
+    weight: str | None = None,
 ) -> DataFrame:
     """Valid and invalid dates, first and last date, number of dates."""
     total, valid, invalid, earliest, latest, distinct = names
@@ -216,7 +226,7 @@ def temporal_coverage(
     day = F.col("_day")
     as_text = isinstance(df.schema[col].dataType, StringType)
     date = safe_date(col) if as_text else F.col(col).cast("date")
-    per_day = df.groupBy(date.alias("_day")).agg(every().alias("_n"))
+    per_day = df.groupBy(date.alias("_day")).agg(every(weight).alias("_n"))
     rows = F.coalesce(F.sum("_n"), F.lit(0))
     known = F.coalesce(F.sum(F.when(day.isNotNull(), F.col("_n"))), F.lit(0))
     return per_day.agg(
@@ -268,11 +278,11 @@ def encoding_audit(
     return df.agg(*[count_where(F.col(col).contains(x)).alias(name) for name, x in literals.items()])
 
 
-def pattern_counts(df: DataFrame, col: str, patterns: Mapping[str, str]) -> DataFrame:
+def pattern_counts(df: DataFrame, col: str, patterns: Mapping[str, str], weight: str | None = None) -> DataFrame:
     """Rows matching each regular expression, in one pass."""
     names = [f"_p{i}" for i in range(len(patterns))]
     counted = df.agg(
-        *[count_where(F.col(col).rlike(unicode_regex(p))).alias(n) for n, p in zip(names, patterns.values())]
+        *[count_where(F.col(col).rlike(unicode_regex(p)), weight).alias(n) for n, p in zip(names, patterns.values())]
     )
     return rows_from(counted, [(F.lit(l), F.col(n)) for l, n in zip(patterns, names)], ("pattern", "n"))
 

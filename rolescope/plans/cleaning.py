@@ -9,6 +9,7 @@ from .. import schemas
 from ..functions.geo import FULL_LOOKUPS, StateLookups, extract_state
 from ..functions.rules import UNCATEGORIZED, classify_role
 from ..functions.text import last_segment, normalize_title, replace_nbsp, safe_date
+from ..operators.dictionary import by_value, resolve
 from ..operators.repeats import flag_repeats, keep_first
 from ..operators.sample import sample_rows
 from ..operators.profile import value_counts
@@ -32,6 +33,23 @@ def with_state(located: DataFrame, lookups: StateLookups = FULL_LOOKUPS, strict:
     )
 
 
+def titles_by_value(combined: DataFrame, version: str = "final") -> DataFrame:
+    """Each distinct title once, mended, normalised and with its role, and the ``_rows`` that have it."""
+    return with_role(clean_titles(by_value(combined, "job_title")), version)
+
+
+def locations_by_value(
+    combined: DataFrame, lookups: StateLookups = FULL_LOOKUPS, strict: bool = False
+) -> DataFrame:
+    """Each distinct location once with its state, and the ``_rows`` that have it."""
+    return with_state(by_value(combined, "job_location"), lookups, strict)
+
+
+def locate(combined: DataFrame, lookups: StateLookups = FULL_LOOKUPS, strict: bool = False) -> DataFrame:
+    """``with_state`` for tables of many adverts: each location is looked up once and joined back."""
+    return resolve(combined, "job_location", lambda values: with_state(values, lookups, strict))
+
+
 def with_attributes(
     combined: DataFrame,
     version: str = "final",
@@ -67,6 +85,7 @@ def uncategorized_sample(classified: DataFrame, n: int = 20, seed: int = 42) ->
     return sample_rows(uncategorized(classified), n, seed=seed).select("job_link", "job_title")
 
 
-def uncategorized_top(classified: DataFrame, k: int = 40) -> DataFrame:
+def uncategorized_top(classified: DataFrame, k: int = 40, weight: str | None = None) -> DataFrame:
     titles = uncategorized(classified).filter(F.col("job_title_normalized").isNotNull())
-    return top(value_counts(titles, "job_title_normalized"), k, "job_count", "job_title_normalized")
+    counts = value_counts(titles, "job_title_normalized", weight=weight)
+    return top(counts, k, "job_count", "job_title_normalized")

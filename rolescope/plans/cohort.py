@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..functions.text import contains_any, contains_ci, holds, or_empty
 from ..operators.keys import KEY, enrich, match, restrict
+from ..operators.marks import Marks
 from ..operators.tokens import has_term
 from ..sources.tables import write_parquet
 
@@ -71,6 +72,15 @@ def build_cohort(postings: DataFrame, skills: DataFrame, spec: CohortSpec = STAN
     return cohort_members(postings, skills, spec).distinct()
 
 
+BY_SKILL, BY_TITLE, BY_FAMILY = "skill rule", "title rule", "title family"
+
+
+def cohort_marks(postings: DataFrame, skills: DataFrame, spec: CohortSpec = STANDARD) -> Marks:
+    """Which of the rules each key meets, from one scan of each table."""
+    titles = {BY_TITLE: title_test("job_title", spec), BY_FAMILY: family_test("job_title", spec)}
+    return Marks([(skills, {BY_SKILL: skill_test("job_skills", spec)}), (postings, titles)])
+
+
 def cohort_postings(
     postings: DataFrame,
     skills: DataFrame,

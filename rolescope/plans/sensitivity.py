@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lookups import ANCHOR_SKILLS
 from ..functions.numbers import pct
-from ..operators.keys import KEY
-from ..operators.profile import distribution
-from ..operators.repeats import keep_first, repeat_audit
-from ..operators.totals import top
-from .skills import top_raw_skills
+from ..operators.keys import KEY, restrict
+from ..operators.marks import top_of_each
+from ..operators.profile import every
+from ..operators.repeats import POSTING_KEYS, keep_first, repeat_audit
+from ..operators.tokens import explode_list
+from ..sources.tables import stored
 
 ORIGINAL, REDUCED = "Original", "Sensitivity"
 
@@ -32,27 +34,41 @@ def sensitivity_counts(us_postings: DataFrame) -> DataFrame:
     )
 
 
-def _both(us_postings: DataFrame, ranking, bases: dict[str, int] | None) -> DataFrame:
-    bases = bases or {}
-    parts = [
-        ranking(rows, bases.get(label)).select(F.lit(label).alias("population"), "*")
-        for label, rows in ((ORIGINAL, us_postings), (REDUCED, sensitivity_population(us_postings)))
-    ]
-    return parts[0].unionByName(parts[1])
+def marked_population(us_postings: DataFrame) -> DataFrame:
+    """Key, title, company and location: the population with _all 1, then what the removal leaves with _kept 1.
+
+    Written to the shared folder once: the postings are scanned once, whatever is compared.
+    """
+    population = stored(us_postings.select(KEY, *POSTING_KEYS), "sensitivity_population")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    every_row = population.select("*", one.alias("_all"), none.alias("_kept"))
+    left = sensitivity_population(population).select("*", none.alias("_all"), one.alias("_kept"))
+    return stored(every_row.unionByName(left), "sensitivity_marked")
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """_all and _kept of each value."""
+    return rows.groupBy("value").agg(every("_all").alias("_all"), every("_kept").alias("_kept"))
+
+
+def _compared(counts: DataFrame, marked: DataFrame, k: int, bases: dict[str, int] | None) -> DataFrame:
+    """The top values of both populations from value, _all, _kept."""
+    ranked = top_of_each(counts, "value", {ORIGINAL: "_all", REDUCED: "_kept"}, k, "population", "job_count")
+    totals = marked.agg(F.struct(every("_all").alias(ORIGINAL), every("_kept").alias(REDUCED))).scalar()
+    base = {label: F.lit(bases[label]) if bases and label in bases else totals[label] for label in (ORIGINAL, REDUCED)}
+    whole = F.when(F.col("population") == ORIGINAL, base[ORIGINAL]).otherwise(base[REDUCED])
+    return ranked.withColumn("percentage", pct(F.col("job_count"), whole.cast("long")))
 
 
 def compare_top_values(
     us_postings: DataFrame, value: Column, k: int = 10, bases: dict[str, int] | None = None
 ) -> DataFrame:
-    """Top values of a posting column in both populations.
+    """Top values of a title, company or location in both populations.
 
     Shares are of the population, or of the number ``bases`` gives for it.
     """
-
-    def ranking(rows: DataFrame, base) -> DataFrame:
-        return top(distribution(rows, value, "value", base=base), k, "job_count", "value")
-
-    return _both(us_postings, ranking, bases)
+    marked = marked_population(us_postings)
+    return _compared(_summed(marked.select(value.alias("value"), "_all", "_kept")), marked, k, bases)
 
 
 def compare_top_titles(us_postings: DataFrame, k: int = 10, bases: dict[str, int] | None = None) -> DataFrame:
@@ -66,8 +82,9 @@ def compare_top_locations(us_postings: DataFrame, k: int = 10, bases: dict[str,
 def compare_top_skills(
     us_postings: DataFrame, skills: DataFrame, k: int = 10, bases: dict[str, int] | None = None
 ) -> DataFrame:
-    def ranking(rows: DataFrame, base) -> DataFrame:
-        ranked = top_raw_skills(rows.select(KEY), skills, k, base, share="percentage")
-        return ranked.withColumnRenamed("skill", "value")
-
-    return _both(us_postings, ranking, bases)
+    """Skills as written, anchors left out; the skill lists are scanned and split once."""
+    marked = marked_population(us_postings)
+    keys = marked.groupBy(KEY).agg(F.max("_all").alias("_all"), F.max("_kept").alias("_kept"))
+    tokens = explode_list(restrict(skills, marked.select(KEY)), "job_skills", [KEY], out="value", fold_case=False)
+    others = tokens.where(~F.lower("value").isin(*ANCHOR_SKILLS)).distinct().join(keys, KEY)
+    return _compared(_summed(others), marked, k, bases)

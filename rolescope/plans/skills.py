@@ -16,15 +16,23 @@ from ..operators.tokens import complementary_counts, explode_list, term_counts
 from ..operators.totals import as_base, rows_of, top
 
 
-def population_tokens(keys: DataFrame, skills: DataFrame) -> DataFrame:
-    """Skills of a population as written, trimmed only."""
-    return explode_list(restrict(skills, keys), "job_skills", [KEY], out="skill", fold_case=False)
-
-
-def top_raw_skills(keys: DataFrame, skills: DataFrame, k: int = 30, base=None, share="percentage_of_us_ba_jobs"):
+def population_tokens(keys: DataFrame, skills: DataFrame, fold_case: bool = False) -> DataFrame:
+    """Skills of a population as written, trimmed only; lower-cased with ``fold_case``."""
+    return explode_list(restrict(skills, keys), "job_skills", [KEY], out="skill", fold_case=fold_case)
+
+
+def top_raw_skills(
+    keys: DataFrame,
+    skills: DataFrame,
+    k: int = 30,
+    base=None,
+    share: str = "percentage_of_us_ba_jobs",
+    fold_case: bool = False,
+) -> DataFrame:
     """Most frequent skills as written, anchors left out, as a share of the population."""
     base = keys if base is None else base
-    return top(complementary_counts(population_tokens(keys, skills), base, share=share), k, "job_count", "skill")
+    tokens = population_tokens(keys, skills, fold_case)
+    return top(complementary_counts(tokens, base, share=share), k, "job_count", "skill")
 
 
 def exploded(combined: DataFrame, drop_empty: bool = True) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import let
 from .files import CSV_OPTIONS
-from .records import csv_records, kept
+from .records import csv_records
+from .tables import stored
 
 #: Different headers among the files of one load; each adds a branch to the plan.
 MOST_HEADERS = 64
@@ -98,7 +99,7 @@ def read_by_header(
     top = F.min(F.when(F.col("block") == 0, F.col("record")))
     first = records.groupBy("file").agg(F.lit(0).cast("long").alias("block"), top.alias("record"))
     heads = records.join(first, ["file", "block", "record"]).select("file", "block", "record", F.col("text").alias("head"))
-    heads = kept(heads, "csv-headers")
+    heads = stored(heads, "csv-headers")
     headers = [r.head for r in heads.select("head").distinct().limit(MOST_HEADERS + 1).collect()]
     if len(headers) > MOST_HEADERS:
         raise HeaderError(f"more than {MOST_HEADERS} different headers")

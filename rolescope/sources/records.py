@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import shared_path
+from .tables import stored
 
 
 def _quotes(c: str) -> Column:
@@ -39,13 +39,6 @@ def _lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder once and read back."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def block_starts(lines: DataFrame) -> DataFrame:
     """file, block, inside: 1 where the block begins inside quotes."""
     blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"))
@@ -68,7 +61,7 @@ def csv_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     record of all that follows. Records are written to the shared folder once.
     """
     lines = _lines(spark, paths)
-    starts = kept(block_starts(lines), "csv-blocks")
+    starts = stored(block_starts(lines), "csv-blocks")
     # blocks depend on the session's split sizes; were they cut anew meanwhile, this stops
     torn = F.raise_error(F.lit("the files or their splits changed while they were read"))
     inside = F.coalesce("inside", torn.cast("long"))
@@ -81,7 +74,7 @@ def csv_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     pieces = numbered.groupBy("file", "block", "record").agg(
         _joined("line").alias("text"), (F.sum("quotes") % 2).alias("open")
     )
-    pieces = kept(pieces, "csv-pieces")
+    pieces = stored(pieces, "csv-pieces")
 
     whole = (F.col("record") > 0) & (F.col("open") == 0)
     in_order = Window.partitionBy("file").orderBy("block", "record")

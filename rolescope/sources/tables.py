@@ -62,6 +62,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder once and read back: of known size, and safe from a lost executor."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def session_table(df: DataFrame, name: str) -> DataFrame:
     """Writes an intermediate result once, registers it as a view and reads it back.
 

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from .columns import numbered, pick
 from .quality import word_list
 from .store import stored
 
@@ -31,36 +33,40 @@ def _stretches(tokens: Column, depth: int, spans: int) -> list[Column]:
     return [F.xxhash64(F.slice(tokens, a + 1, b - a)) for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def template_uses(
-    docs: DataFrame, depth: int, spans: int, min_tokens: int, least_tokens: int, short_lines: bool, open_tokens: bool
-) -> DataFrame:
+def _exclusive_or(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda done, x: done.bitwiseXOR(x))
+
+
+def template_uses(docs: DataFrame, depth: int, spans: int, min_tokens: int, least_tokens: int) -> DataFrame:
     """A row for each template (path and rest, hashed) of each line with a word: doc_id, text_hash, line (from 0).
 
-    The lowest bit of a template says that it is weak. Without ``short_lines``, lines of
-    fewer than ``least_tokens`` have none. With ``open_tokens``, lines of more than that, up
-    to ``min_tokens``, have one with each token below the path left open.
+    The lowest bit of a template says that it is weak. In lines of more than ``least_tokens``
+    and less than ``min_tokens`` every token is hashed once with its place; what is left when one
+    is opened is the exclusive or of the others.
     """
     lines = docs.where("doc_id is not null and text is not null").select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "words")
     )
     words = F.when(F.col("words").rlike("[0-9]"), F.regexp_replace("words", VARIABLE, "<*>")).otherwise(F.col("words"))
     tokens = word_list(words)
-    if short_lines:
-        # of a few variable tokens and nothing else no text would be left: they are compared as they are
-        bare = (F.size(tokens) < least_tokens) & (F.size(F.array_remove(tokens, "<*>")) == 0)
-        tokens = F.when(bare, word_list(F.col("words"))).otherwise(tokens)
-    tokens = lines.select("doc_id", "text_hash", "line", tokens.alias("tokens"))
-    tokens = tokens.where(F.size("tokens") >= (1 if short_lines else least_tokens))
+    # of a few variable tokens and nothing else no text would be left: they are compared as they are
+    bare = (F.size(tokens) < least_tokens) & (F.size(F.array_remove(tokens, "<*>")) == 0)
+    tokens = F.when(bare, word_list(F.col("words"))).otherwise(tokens)
+    tokens = lines.select("doc_id", "text_hash", "line", tokens.alias("tokens")).where(F.size("tokens") > 0)
     lead = [F.get("tokens", F.lit(i)) for i in range(depth)]
     names = [f"s{i}" for i in range(spans)]
+    n = F.size("tokens")
+    # nothing but variable fields outside the open token says nothing
+    several = F.size(F.array_remove(F.slice("tokens", 1, min_tokens), "<*>")) > 1
+    medium = (n > least_tokens) & (n < min_tokens) & several
     parsed = tokens.select(
         "doc_id",
         "text_hash",
         "line",
-        F.size("tokens").alias("n"),
-        F.xxhash64(F.size("tokens"), *lead).alias("path"),
+        n.alias("n"),
+        F.xxhash64(n, *lead).alias("path"),
         *[s.alias(name) for s, name in zip(_stretches(F.col("tokens"), depth, spans), names, strict=True)],
-        F.when((F.size("tokens") > least_tokens) & (F.size("tokens") < min_tokens), F.col("tokens")).alias("few"),
+        F.when(medium, F.transform("tokens", lambda t, i: F.xxhash64(t, i))).alias("marks"),
     )
     whole = F.xxhash64("path", F.lit(-1), *names)
     open_ = [F.xxhash64("path", F.lit(i), *[x for x in names if x != name]) for i, name in enumerate(names)]
@@ -68,15 +74,15 @@ def template_uses(
     rests = F.when(F.col("n") >= min_tokens, F.array(whole, *open_)).otherwise(F.array(whole))
     even, odd = F.lit(-2).cast("long"), F.lit(1).cast("long")
     weak = (F.col("n") < least_tokens).cast("long")
-    marked = F.transform(rests, lambda x: x.bitwiseAND(even) + weak)
-    if open_tokens:
-        others = lambda i: F.concat(F.slice("few", 1, i), F.slice("few", i + 2, F.lit(min_tokens)))
-        places = F.sequence(F.lit(depth), F.col("n") - 1)
-        ones = F.transform(places, lambda i: F.xxhash64("path", i + spans, others(i)).bitwiseOR(odd))
-        # nothing but variable fields outside the open token says nothing
-        several = F.col("few").isNotNull() & (F.size(F.array_remove("few", "<*>")) > 1)
-        marked = F.when(several, F.concat(marked, ones)).otherwise(marked)
-    return parsed.select("doc_id", "text_hash", "line", F.explode(marked).alias("template"))
+    rests = F.transform(rests, lambda x: x.bitwiseAND(even) + weak)
+
+    def opened(all_: Column) -> Column:
+        others = F.transform("marks", lambda x, i: F.xxhash64("path", i + spans, all_.bitwiseXOR(x)).bitwiseOR(odd))
+        return F.slice(others, depth + 1, min_tokens)
+
+    ones = let(_exclusive_or(F.col("marks")), opened)
+    templates = F.when(F.col("marks").isNull(), rests).otherwise(F.concat(rests, ones))
+    return parsed.select("doc_id", "text_hash", "line", F.explode(templates).alias("template"))
 
 
 def drop_recurring(
@@ -87,21 +93,21 @@ def drop_recurring(
     min_tokens: int = 12,
     least_tokens: int = 4,
     weak_docs: int = 10,
-    short_lines: bool = True,
-    open_tokens: bool = True,
 ) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``, and n_lines, dropped (their numbers).
 
     Documents with one and the same text count as one and lose the same lines. Lines with
-    fewer than ``least_tokens`` tokens recur when ``weak_docs`` texts hold them; without
-    ``short_lines`` they always stay. Longer ones of fewer than ``min_tokens`` also recur
-    when ``weak_docs`` texts hold them with one token changed, always the same one, below the
-    path; not without ``open_tokens``. Blank lines always stay. The lines that stay keep their order,
-    white space and line breaks. A null text stays null, and a row with a null doc_id stays
-    as it is. Columns of ``docs`` named n_lines or dropped are replaced.
+    fewer than ``least_tokens`` tokens recur when ``weak_docs`` texts hold them. Longer ones of
+    fewer than ``min_tokens`` also recur when ``weak_docs`` texts hold them with one token changed,
+    always the same one, below the path. Blank lines always stay. The lines that stay keep their
+    order, white space and line breaks. A null text stays null, and a row with a null doc_id
+    stays as it is. Columns of ``docs`` named n_lines or dropped, in upper or lower case, are
+    replaced; all others stay, whatever their names.
     """
-    uses = template_uses(docs, depth, spans, min_tokens, least_tokens, short_lines, open_tokens)
-    uses = stored(uses, "line-templates")
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "dropped")]
+    docs = pick(docs, *kept)
+    docs, names = numbered(docs, "doc_id", "text")
+    uses = stored(template_uses(docs, depth, spans, min_tokens, least_tokens), "line-templates")
     texts = uses.groupBy("template", "text_hash").agg(F.min("doc_id").alias("doc_id"))
     wide = texts.groupBy("template").agg(
         F.count("*").alias("texts"), F.min(F.struct("doc_id", "text_hash")).alias("first")
@@ -111,14 +117,14 @@ def drop_recurring(
     wide = wide.where(F.col("texts") >= enough).select("template", F.col("first.text_hash").alias("first"))
     gone = uses.select("text_hash", "line", "template").join(wide, "template").where("text_hash <> first")
     gone = gone.groupBy("text_hash").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
-    kept = [c for c in docs.columns if c not in ("n_lines", "dropped")]
-    hashed = docs.select(*kept, F.when(F.col("doc_id").isNotNull(), F.xxhash64("text")).alias("text_hash"))
+    hashed = docs.select("*", F.when(F.col("doc_id").isNotNull(), F.xxhash64("text")).alias("text_hash"))
     joined = hashed.join(gone, "text_hash", "left")
     lines = F.split("text", "\n")
     left = F.filter(lines, lambda x, i: ~F.array_contains("dropped", i))
     text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in kept],
+    out = joined.select(
+        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
     )
+    return out.toDF(*names, "n_lines", "dropped")

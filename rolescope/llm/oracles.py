@@ -69,32 +69,41 @@ SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM split s LEFT JOIN fitting f ON f.page_id = s.page_id AND f.place = 1
 """
 
-# lines, their stretches and templates as text; the query's defaults are written out
+# lines, their stretches and templates as text; the operator's defaults are written out
 OP1 = r"""
 WITH lines AS (
   SELECT doc_id, text, i - 1 AS line, string_split(text, chr(10))[i] AS line_text
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
+), words AS (
+  SELECT doc_id, text, line, regexp_extract_all(line_text, '[^\x20\x09-\x0D]+') AS w FROM lines
+), marked AS (
+  SELECT doc_id, text, line, w, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m
+  FROM words WHERE len(w) > 0
 ), tokens AS (
-  SELECT doc_id, text, line, list_transform(regexp_extract_all(line_text, '[^\x20\x09-\x0D]+'),
-         lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
-  FROM lines
+  SELECT doc_id, text, line, len(m) AS n, len(list_filter(m, lambda x: x <> '<*>')) AS plain,
+         CASE WHEN len(m) < 4 AND len(list_filter(m, lambda x: x <> '<*>')) = 0 THEN w ELSE m END AS t
+  FROM marked
 ), parsed AS (
-  SELECT doc_id, text, line, len(t) AS n, [t[1], t[2]] AS lead,
-         [t[3 + CAST(floor(greatest(len(t) - 2, 0) * i / 4) AS INT):2 + CAST(floor(greatest(len(t) - 2, 0) * (i + 1) / 4) AS INT)]
+  SELECT *, [t[1], t[2]] AS lead,
+         [t[3 + CAST(floor(greatest(n - 2, 0) * i / 4) AS INT):2 + CAST(floor(greatest(n - 2, 0) * (i + 1) / 4) AS INT)]
           FOR i IN range(0, 4)] AS s
-  FROM tokens WHERE len(t) >= 4
+  FROM tokens
 ), uses AS (
-  SELECT doc_id, text, line, n, lead, unnest(CASE WHEN n >= 12 THEN
+  SELECT text, doc_id, line, n, lead, CASE WHEN n < 4 THEN 10 ELSE 3 END AS least,
+         unnest(CASE WHEN n >= 12 THEN
            [{'open': -1, 'rest': s}, {'open': 0, 'rest': s[2:4]}, {'open': 1, 'rest': [s[1], s[3], s[4]]},
             {'open': 2, 'rest': [s[1], s[2], s[4]]}, {'open': 3, 'rest': s[1:3]}]
          ELSE [{'open': -1, 'rest': s}] END) AS template
   FROM parsed
+  UNION ALL
+  SELECT text, doc_id, line, n, lead, 10, unnest([{'open': 1 + i, 'rest': [t[:i - 1], t[i + 1:]]} FOR i IN range(3, n + 1)])
+  FROM parsed WHERE n > 4 AND n < 12 AND plain > 1
 ), wide AS (
-  SELECT n, lead, template, arg_min(text, doc_id) AS first
-  FROM uses GROUP BY n, lead, template HAVING count(DISTINCT text) >= 3
+  SELECT n, lead, template, least, arg_min(text, doc_id) AS first
+  FROM uses GROUP BY n, lead, template, least HAVING count(DISTINCT text) >= least
 ), gone AS (
   SELECT DISTINCT u.text, u.line FROM uses u
-  JOIN wide w ON u.n = w.n AND u.lead = w.lead AND u.template = w.template WHERE u.text <> w.first
+  JOIN wide w ON u.n = w.n AND u.lead = w.lead AND u.template = w.template AND u.least = w.least WHERE u.text <> w.first
 ), dropped AS (
   SELECT text, list(line) AS numbers FROM gone GROUP BY text
 )

@@ -195,3 +195,17 @@ def test_run_is_plain_after_the_trained_stage(spark):
     assert len(out) == len(expected)
     assert {r.doc_id: list(r.ids) for r in out} == {d: coder.encode_ordinary(t) for d, t in expected.items()}
     assert all(r.n_tokens == len(r.ids) for r in out)
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    wide = docs.select(
+        "*", *[F.lit(n).alias(n) for n in ("text_hash", "N_Lines", "Dropped", "template", "TEXT", "first", "c0", "line")]
+    )
+    plain = {r.doc_id: r for r in corpus_pipeline.drop_lines(spark, docs, SMALL).collect()}
+    out = corpus_pipeline.drop_lines(spark, wide, SMALL)
+    assert out.columns == wide.columns and out.dtypes == wide.dtypes
+    for row in out.collect():
+        kept = dict(zip(out.columns, row, strict=True))
+        assert all(kept[c] == plain[kept["doc_id"]][c] for c in docs.columns)
+        assert kept["N_Lines"] == "N_Lines" and kept["text_hash"] == "text_hash" and kept["TEXT"] == "TEXT"

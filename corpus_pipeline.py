@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolescope.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, toxicity
+from rolescope.llm.columns import numbered
 from rolescope.llm.package import ship
 from rolescope.llm.queries import BATCH_ROWS, RANKS, fold
 from rolescope.llm.store import stored
@@ -29,10 +30,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents without recurring lines; n_chars follows the text."""
-    out = line_dedup.drop_recurring(docs).drop("n_lines", "dropped")
-    if "n_chars" in out.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    counted = [c for c in ("n_chars",) if c in docs.columns]
+    plain, names = numbered(docs, "doc_id", "text", *counted)
+    out = line_dedup.drop_recurring(plain)
+    for c in counted:
+        out = out.withColumn(c, F.length("text").cast(plain.schema[c].dataType))
+    return out.select(*plain.columns).toDF(*names)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

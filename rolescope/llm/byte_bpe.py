@@ -5,11 +5,12 @@ distinct piece: a step looks up all neighbouring pairs in a literal rank map and
 leftmost pair of lowest rank. The map is a literal array of slots; a pair is in one of two
 slots (remainders by two primes).
 
-1. Pieces that several batches of documents hold are counted over the table, and the most
-   frequent are folded once. Their number is bounded, so they are sent to all tasks.
-2. A batch of documents becomes one row with its documents as lists of piece numbers, the
-   pieces folded before, and the others as arrays of byte ids, which Spark folds there.
-   Documents then take their ids from their pieces.
+1. Documents are cut into pieces once. A batch of them is stored as one row: the documents as
+   packed lists of piece numbers, and the batch's distinct pieces.
+2. Pieces that several batches hold are counted over the table, and the most frequent are
+   folded once. Their number is bounded, so they are sent to all tasks as flat arrays.
+3. Spark folds the pieces that are left in a batch there. Documents then take their ids from
+   their pieces.
 
 Decoding concatenates the tokens' bytes.
 """
@@ -23,19 +24,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
 from . import words as W
+from .columns import pick
 from .store import stored
 
 #: Text in a row of pieces. Pieces of more bytes than LONG are merged with a heap, which
 #: takes n log n steps where the fold takes n * n; the merges are the same.
 ROW_BYTES, LONG = 4 << 20, 48
-#: Pieces folded once for all batches, at most; what a task counts before it passes counts on.
-FREQUENT, HELD = 1 << 19, 200_000
-NONE = 1 << 20  # rank of a pair that does not merge
+#: Pieces folded once for all batches, at most.
+FREQUENT = 1 << 20
+#: Rank of a pair that does not merge, and an empty slot. A piece has at most 255 bytes where Spark folds it.
+NONE, EMPTY = 1 << 20, 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -76,12 +80,12 @@ class PairTable:
             size = size * 5 // 4
 
     def _fill(self, pairs: dict[int, int]) -> bool:
-        self.slots = slots = [0] * (self.first + self.second)
+        self.slots = slots = [EMPTY] * (self.first + self.second)
         for key, rank in pairs.items():
             entry, at = key << 20 | rank, key % self.first
             for _ in range(500):  # an entry moved out goes to its other slot
                 slots[at], entry = entry, slots[at]
-                if not entry:
+                if entry == EMPTY:
                     break
                 key = entry >> 20
                 at = self.first + key % self.second if at < self.first else key % self.first
@@ -92,48 +96,53 @@ class PairTable:
     def literal(self) -> Column:
         return F.split(F.lit(",".join(map(str, self.slots))), ",").cast("array<bigint>")
 
-    def ranks(self, slots: Column, ids: Column) -> Column:
-        """The ranks of all neighbouring pairs of ids."""
-        one, low = F.lit(1 << 20).cast("bigint"), F.lit((1 << 20) - 1).cast("bigint")
-        tail = F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0)))
-        keys = F.transform(tail, lambda right, i: F.get(ids, i) * one + right)
+    def rank(self, slots: Column, left: Column, right: Column) -> Column:
+        """The rank of a pair of ids; NONE for one that does not merge or has a null in it."""
+        key = F.shiftleft(left, 20) + right
+        # an entry without its own key is a rank, one without another key a large number
+        own = F.shiftleft(key, 20)
+        hit = [F.get(slots, (key % self.first).cast("int")), F.get(slots, (key % self.second + self.first).cast("int"))]
+        return F.least(*[x.bitwiseXOR(own) for x in hit], _long(NONE))
 
-        def rank(key: Column) -> Column:
-            slot = [F.get(slots, (key % self.first).cast("int")), F.get(slots, (key % self.second + self.first).cast("int"))]
-            hit = [F.shiftright(s, 20) == key for s in slot]
-            found = F.when(hit[0], slot[0].bitwiseAND(low)).when(hit[1], slot[1].bitwiseAND(low))
-            return F.coalesce(found.cast("int"), F.lit(NONE))
 
-        return F.transform(keys, rank)
+def _long(n: int) -> Column:
+    return F.lit(n).cast("bigint")
 
 
 def merged(piece: Column, table: PairTable, slots: Column) -> Column:
-    """The ids of a piece given as the ids of its bytes."""
+    """The ids of a piece given as the ids of its bytes.
 
-    def step(acc: Column, _: Column) -> Column:
-        ids, ranks = acc["ids"], acc["ranks"]
+    The fold's state has an entry for each id: the rank of its pair with the next one, its
+    first byte's place and itself, in one number. The least entry is the leftmost of the pairs
+    of lowest rank.
+    """
+    low = (1 << 20) - 1
+    id_of = lambda entry: entry.bitwiseAND(_long(low))
+
+    def entry(left: Column, right: Column, rest: Column) -> Column:
+        return F.shiftleft(table.rank(slots, left, right), 28) + rest
 
+    def step(acc: Column, _: Column) -> Column:
         def join(at: Column) -> Column:
-            joined = F.concat(
-                F.slice(ids, F.lit(1), at - 1), F.array(F.get(ranks, at - 1)), F.slice(ids, at + 2, F.size(ids))
+            least, before, after = F.get(acc, at - 1), F.get(acc, at - 2), F.get(acc, at + 1)
+            joined = F.shiftright(least, 28)
+            own = entry(joined, id_of(after), least.bitwiseAND(_long(255 << 20)) + joined)
+            left = entry(id_of(before), joined, before.bitwiseAND(_long((1 << 28) - 1)))
+            tail = F.slice(acc, at + 2, F.size(acc))
+            return F.when(at > 1, F.concat(F.slice(acc, F.lit(1), at - 2), F.array(left, own), tail)).otherwise(
+                F.concat(F.array(own), tail)
             )
 
-            def with_ranks(new: Column) -> Column:
-                begin = F.greatest(at - 1, F.lit(1))
-                near = F.slice(new, begin, at + 2 - begin)  # the new id and its neighbours
-                pairs = F.concat(
-                    F.slice(ranks, F.lit(1), begin - 1), table.ranks(slots, near), F.slice(ranks, at + 2, F.size(ranks))
-                )
-                return F.struct(new.alias("ids"), pairs.alias("ranks"))
-
-            return let(joined, with_ranks)
+        least = F.array_min(acc)
+        return F.when(least < _long(NONE << 28), let(F.array_position(acc, least).cast("int"), join)).otherwise(acc)
 
-        lowest = F.array_min(ranks)
-        return F.when(lowest < NONE, let(F.array_position(ranks, lowest).cast("int"), join)).otherwise(acc)
+    def fold(ids: Column) -> Column:
+        place = lambda i: F.shiftleft(i.cast("bigint"), 20)
+        start = F.transform(ids, lambda x, i: entry(x, F.get(ids, i + 1), place(i) + x))
+        done = F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), start, step)
+        return F.transform(done, lambda x: id_of(x).cast("int"))
 
-    steps = F.slice(piece, F.lit(2), F.size(piece))
-    begin = F.struct(piece.alias("ids"), table.ranks(slots, piece).alias("ranks"))
-    return F.aggregate(steps, begin, step, lambda acc: acc["ids"])
+    return let(piece.cast("array<bigint>"), fold)
 
 
 def merge_long(piece: list[int], pairs: dict[int, int]) -> list[int]:
@@ -157,83 +166,123 @@ def merge_long(piece: list[int], pairs: dict[int, int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def _piece_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of pieces one after another, where each begins and the last ends, and their hashes."""
-    ends = np.cumsum([0, *map(len, raw)])
-    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    hashed = W.spans_hash(W.BYTE_VALUES[data], ends[:-1], ends[1:])
-    return data, ends, W.mix(hashed + np.diff(ends).astype(np.uint64))
+def _hashes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of pieces that lie one after another; a bounded stretch at a time."""
+    out = np.empty(len(ends) - 1, dtype=np.uint64)
+    for a, b in W.pieces(ends, 1 << 17):
+        cut = ends[a : b + 1] - ends[a]
+        out[a:b] = W.spans_hash(W.BYTE_VALUES[data[ends[a] : ends[b]]], cut[:-1], cut[1:])
+    return W.mix(out + np.diff(ends).astype(np.uint64))
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list or binary array one after another, and where each entry begins and the last ends."""
+    if pa.types.is_list(column.type):
+        offsets = np.asarray(column.offsets, dtype=np.int64)
+        return np.asarray(column.values)[offsets[0] : offsets[-1]], offsets - offsets[0]
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    offsets = offsets.astype(np.int64)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _taken(values: np.ndarray, ends: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries in another order, as ``_flat`` gives them."""
+    size = np.diff(ends)[order]
+    return values[W.runs(ends[order], size)], np.append(0, np.cumsum(size))
 
 
 class Folded:
     """Pieces, as byte ids, with the ids they merge to, in order of their hashes."""
 
-    def __init__(self, pieces: list[bytes], ids: pa.ListArray):
-        hashes = _piece_hashes(pieces)[2]
+    def __init__(self, pieces: pa.BinaryArray, ids: pa.ListArray):
+        data, ends = _flat(pieces)
+        hashes = _hashes(data, ends)
         order = np.argsort(hashes, kind="stable")
-        self.data, self.ends, self.hashes = _piece_hashes([pieces[i] for i in order])
-        ids = ids.take(pa.array(order))
-        self.id_ends, self.ids = np.asarray(ids.offsets), np.asarray(ids.flatten())
-
-    def add_to(self, whole: list, short: list[bytes], at: list[int]) -> list[int]:
-        """Sets ``whole[at]`` for the pieces that are held; returns the numbers of the others."""
-        if not len(self.hashes) or not short:
-            return list(range(len(short)))
-        data, ends, hashes = _piece_hashes(short)
+        self.hashes = hashes[order]
+        self.data, self.ends = _taken(data, ends, order)
+        self.ids, self.id_ends = _taken(*_flat(ids), order)
+        self.ids = self.ids.astype(np.int32)
+
+    def find(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each piece here; -1 for one that is not held."""
+        found = np.full(len(ends) - 1, -1)
+        if not len(self.hashes) or not len(found):
+            return found
+        hashes, size = _hashes(data, ends), np.diff(ends)
         slot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        size = np.diff(ends)
-        same = (self.hashes[slot] == hashes) & (self.ends[slot + 1] - self.ends[slot] == size)
-        hit = np.flatnonzero(same)
+        hit = np.flatnonzero((self.hashes[slot] == hashes) & (self.ends[slot + 1] - self.ends[slot] == size))
         if len(hit):  # the bytes confirm
             length = size[hit]
             equal = data[W.runs(ends[hit], length)] == self.data[W.runs(self.ends[slot[hit]], length)]
-            same[hit] = np.logical_and.reduceat(equal, np.cumsum(length) - length)
-        for i in np.flatnonzero(same).tolist():
-            k = slot[i]
-            whole[at[i]] = self.ids[self.id_ends[k] : self.id_ends[k + 1]].tolist()
-        return np.flatnonzero(~same).tolist()
+            hit = hit[np.logical_and.reduceat(equal, np.cumsum(length) - length)]
+            found[hit] = slot[hit]
+        return found
 
 
-def fold_frequent(docs: DataFrame, ranks: dict[bytes, int], table: PairTable, pattern: str, most: int) -> Folded:
-    """The pieces that most batches hold, at most ``most`` and none that one batch alone holds, folded once each."""
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+def split(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """A row for each batch of documents: docs, ends and codes (packed), whole (ids of pieces that
+    need no fold, null for the others), short (the others, as byte ids). Written once."""
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, pair_ranks(ranks)))
     byte_ids = bytes(ranks[bytes([i])] for i in range(256))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, cut, held = sent.value, regex.compile(pattern).findall, {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, pairs = sent.value
+        cut, press = regex.compile(pattern).findall, zstandard.ZstdCompressor(level=1).compress
+        for table in W.batches(batches, most=ROW_BYTES):
+            numbers: dict[str, int] = {}
+            codes, ends = [], [0]
+            for text in table["text"].to_pylist():
+                codes.append(np.array([numbers.setdefault(p, len(numbers)) for p in cut(text or "")], dtype=np.int32))
+                ends.append(ends[-1] + len(codes[-1]))
+            whole, short = [], []
+            for piece in numbers:
+                raw = piece.encode()
+                rank = ranks.get(raw)
+                if rank is not None:
+                    whole.append([rank])
+                elif len(raw) > LONG:
+                    whole.append(merge_long(list(raw.translate(byte_ids)), pairs))
+                else:
+                    whole.append(None)
+                    short.append(raw.translate(byte_ids))
+            packed = press(np.concatenate([np.zeros(0, np.int32), *codes]).tobytes())
+            columns = {
+                "docs": pa.array([table["doc_id"].combine_chunks().to_pylist()], pa.list_(pa.int64())),
+                "ends": pa.array([np.array(ends, np.int64)], pa.list_(pa.int64())),
+                "codes": pa.array([packed], pa.binary()),
+                "whole": pa.array([whole], pa.list_(pa.list_(pa.int32()))),
+                "short": pa.array([short], pa.list_(pa.binary())),
+            }
+            yield from pa.table(columns).to_batches()
 
-        def passed_on() -> pa.RecordBatch:
-            columns = [pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["piece", "times"])
+    kinds = "docs array<bigint>, ends array<bigint>, codes binary, whole array<array<int>>, short array<binary>"
+    return stored(docs.select("doc_id", "text").mapInArrow(run, kinds), "bpe-batches")
 
-        for texts in W.batches(batches, most=ROW_BYTES):
-            for piece in set().union(*(cut(text or "") for text in texts["text"].to_pylist())):
-                raw = piece.encode()
-                if len(raw) <= LONG and raw not in ranks:
-                    raw = raw.translate(byte_ids)
-                    held[raw] = held.get(raw, 0) + 1
-            if len(held) >= HELD:
-                yield passed_on()
-                held.clear()
-        yield passed_on()
-
-    counted = docs.select("text").mapInArrow(count, "piece binary, times long")
-    counted = stored(counted.groupBy("piece").agg(F.sum("times").alias("times")).where("times > 1"), "bpe-pieces")
+
+def _byte_ids(piece: Column) -> Column:
+    letters = F.filter(F.split(F.decode(piece, "ISO-8859-1"), ""), lambda c: c != "")
+    return F.transform(letters, lambda c: F.ascii(c))
+
+
+def fold_frequent(batches: DataFrame, table: PairTable, most: int) -> Folded:
+    """The pieces that most batches hold, at most ``most`` and none that one batch alone holds, folded once each."""
+    pieces = batches.select(F.explode("short").alias("piece"))
+    counted = stored(pieces.groupBy("piece").agg(F.count("*").alias("times")).where("times > 1"), "bpe-pieces")
     top = F.lit(1 << 16).cast("long")
     shape = counted.groupBy(F.least("times", top).alias("times")).count().collect()  # at most ``top`` rows
-    least, pieces = None, 0
+    least, held = None, 0
     for r in sorted(shape, reverse=True):
-        if pieces + r["count"] > most:
+        if held + r["count"] > most:
             break
-        least, pieces = r.times, pieces + r["count"]
-    if not pieces:
-        return Folded([], pa.array([], pa.list_(pa.int32())))
-    letters = F.filter(F.split(F.decode("piece", "ISO-8859-1"), ""), lambda c: c != "")
-    ids = F.transform(letters, lambda c: F.ascii(c))
-    fold = let(table.literal(), lambda slots: let(ids, lambda piece: merged(piece, table, slots)))
-    rows = counted.where(F.col("times") >= least).repartition(-(-pieces // 8192))
+        least, held = r.times, held + r["count"]
+    if not held:
+        return Folded(pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32())))
+    fold = let(table.literal(), lambda slots: merged(_byte_ids(F.col("piece")), table, slots))
+    rows = counted.where(F.col("times") >= least).repartition(-(-held // 8192))
     rows = rows.select("piece", fold.alias("ids")).toArrow().combine_chunks()
-    return Folded(rows["piece"].to_pylist(), rows["ids"].combine_chunks())
+    return Folded(rows["piece"].combine_chunks(), rows["ids"].combine_chunks())
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most_frequent: int = FREQUENT) -> DataFrame:
@@ -243,75 +292,69 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most_frequent
     whole gets its id at once. A null text is an empty one and has no ids. Rows are encoded
     one by one, whatever their doc_id is; other columns are not passed on.
     """
-    pairs = pair_ranks(ranks)
-    table = PairTable(pairs)
-    folded = fold_frequent(docs, ranks, table, pattern, most_frequent)
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, pairs, folded))
-    byte_ids = bytes(ranks[bytes([i])] for i in range(256))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, pairs, folded = sent.value
-        cut = regex.compile(pattern).findall
-        for table in W.batches(batches, most=ROW_BYTES):
-            numbers: dict[str, int] = {}
-            codes, ends = [], [0]
-            for text in table["text"].to_pylist():
-                codes += [numbers.setdefault(p, len(numbers)) for p in cut(text or "")]
-                ends.append(len(codes))
-            whole, short, at = [], [], []
-            for piece in numbers:
-                raw = piece.encode()
-                rank = ranks.get(raw)
-                ids = raw.translate(byte_ids)
-                if rank is not None:
-                    whole.append([rank])
-                elif len(raw) > LONG:
-                    whole.append(merge_long(list(ids), pairs))
-                else:
-                    at.append(len(whole))
-                    whole.append(None)
-                    short.append(ids)
-            short = [short[i] for i in folded.add_to(whole, short, at)]
-            sizes = np.cumsum([0, *map(len, short)])
-            flat = np.frombuffer(b"".join(short), np.uint8)
-            short = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat.astype(np.int32)))
-            whole = pa.array(whole, pa.list_(pa.int32()))
-            row = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
-            nest = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            yield from pa.table(
-                {
-                    "docs": nest(table["doc_id"].combine_chunks()),
-                    "ends": row(ends, pa.int32()),
-                    "codes": row(codes, pa.int32()),
-                    "whole": nest(whole),
-                    "short": nest(short),
-                }
-            ).to_batches()
+    table = PairTable(pair_ranks(ranks))
+    batches = split(pick(docs, "doc_id", "text"), ranks, pattern)
+    sent = docs.sparkSession.sparkContext.broadcast(fold_frequent(batches, table, most_frequent))
+    kinds = "docs array<bigint>, ends array<bigint>, codes binary, lengths binary, known binary, short array<binary>"
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """lengths: ids of each piece, -1 for those still to fold; known: the ids of the others."""
+        folded = sent.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                whole, short = batch["whole"][i].values, batch["short"][i].values
+                lengths = np.asarray(whole.value_lengths().fill_null(-1)).astype(np.int64)
+                waiting = np.flatnonzero(lengths < 0)
+                data, ends = _flat(short)
+                number = folded.find(data, ends)
+                hit = number >= 0
+                own, own_ends = _flat(whole.drop_null())
+                ids = np.concatenate([own, folded.ids])
+                start = np.empty(len(lengths), dtype=np.int64)
+                start[lengths >= 0] = own_ends[:-1]
+                start[waiting[hit]] = folded.id_ends[number[hit]] + len(own)
+                lengths[waiting[hit]] = folded.id_ends[number[hit] + 1] - folded.id_ends[number[hit]]
+                there = lengths >= 0
+                known = ids[W.runs(start[there], lengths[there])].astype(np.int32)
+                left = short.filter(pa.array(~hit))
+                columns = [
+                    batch["docs"].slice(i, 1),
+                    batch["ends"].slice(i, 1),
+                    batch["codes"].slice(i, 1),
+                    pa.array([lengths.astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([known.tobytes()], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, len(left)], pa.int32()), left),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["docs", "ends", "codes", "lengths", "known", "short"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(batch.num_rows):
-                docs, ends, codes, whole, short = (batch[c][i].values for c in ("docs", "ends", "codes", "whole", "short"))
-                sizes = np.asarray(whole.value_lengths().fill_null(-1)).astype(np.int64)
-                lists = pa.concat_arrays([whole, short])
-                of = np.arange(len(whole))  # the list that holds each piece's ids
-                of[sizes < 0] = len(whole) + np.arange((sizes < 0).sum())
-                starts, flat = np.asarray(lists.offsets)[:-1], np.asarray(lists.values)
-                lengths = np.asarray(lists.value_lengths().fill_null(0))
-                used = of[np.asarray(codes)]
-                size = lengths[used].astype(np.int64)
-                place = np.cumsum(size) - size
-                ids = flat[W.runs(starts[used].astype(np.int64), size)]
-                total = np.append(place, size.sum())[np.asarray(ends)]
-                ids = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(ids, pa.int32()))
-                for a in range(0, len(docs), 1000):
-                    yield pa.RecordBatch.from_arrays([docs[a : a + 1000], ids[a : a + 1000]], ["doc_id", "ids"])
-
-    kinds = "docs array<bigint>, ends array<int>, codes array<int>, whole array<array<int>>, short array<array<int>>"
-    rows = docs.select("doc_id", "text").mapInArrow(split, kinds)
+                docs, ends = batch["docs"][i].values, np.asarray(batch["ends"][i].values)
+                lengths, known = (np.frombuffer(batch[c][i].as_buffer(), np.int32) for c in ("lengths", "known"))
+                codes = np.frombuffer(unpress(batch["codes"][i].as_py()), np.int32)
+                folded, fold_ends = _flat(batch["short"][i].values)
+                lengths, there = lengths.astype(np.int64), lengths >= 0
+                flat = np.concatenate([known, folded])
+                starts = np.empty(len(lengths), dtype=np.int64)
+                starts[there] = np.cumsum(lengths[there]) - lengths[there]
+                starts[~there] = fold_ends[:-1] + len(known)
+                lengths[~there] = np.diff(fold_ends)
+                # some documents at a time, as their ids are many
+                for a, b in W.pieces(ends, 1 << 18):
+                    used = codes[ends[a] : ends[b]]
+                    size = lengths[used]
+                    ids = flat[W.runs(starts[used], size)]
+                    total = np.append(0, np.cumsum(size))[ends[a : b + 1] - ends[a]]
+                    ids = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(ids, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([docs[a:b], ids], ["doc_id", "ids"])
+
     # bound once: the literal is long, and Spark works on every mention of it
-    fold = let(table.literal(), lambda slots: F.transform("short", lambda piece: merged(piece, table, slots)))
-    rows = rows.withColumn("short", fold)
+    fold = let(
+        table.literal(), lambda slots: F.transform("short", lambda piece: merged(_byte_ids(piece), table, slots))
+    )
+    rows = batches.mapInArrow(look_up, kinds).withColumn("short", fold)
     return rows.mapInArrow(gather, "doc_id long, ids array<int>")
 
 

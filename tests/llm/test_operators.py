@@ -341,7 +341,8 @@ def test_pieces_folded_for_all_batches(spark, ranks):
             out = byte_bpe.encode(df, ranks, public_tokenizers.PATTERN, most).collect()
             assert {r.doc_id: r.ids for r in out} == {i: encoding.encode_ordinary(t) for i, t in enumerate(texts)}
         table = byte_bpe.PairTable(byte_bpe.pair_ranks(ranks))
-        held = [len(byte_bpe.fold_frequent(df, ranks, table, public_tokenizers.PATTERN, m).hashes) for m in (1000, 40, 0)]
+        batches = byte_bpe.split(df, ranks, public_tokenizers.PATTERN)
+        held = [len(byte_bpe.fold_frequent(batches, table, m).hashes) for m in (1000, 40, 0)]
         assert held[0] > 40 >= held[1] >= held[2] == 0
     finally:
         spark.conf.set(rows, before)

@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ from . import words as W
 from .columns import pick
 from .store import stored
 
+Batches = Iterator[pa.RecordBatch]
 #: Text in a row of pieces. Pieces of more bytes than LONG are merged with a heap, which
 #: takes n log n steps where the fold takes n * n; the merges are the same.
 ROW_BYTES, LONG = 4 << 20, 48
@@ -227,15 +230,16 @@ def split(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((ranks, pair_ranks(ranks)))
     byte_ids = bytes(ranks[bytes([i])] for i in range(256))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         ranks, pairs = sent.value
         cut, press = regex.compile(pattern).findall, zstandard.ZstdCompressor(level=1).compress
         for table in W.batches(batches, most=ROW_BYTES):
-            numbers: dict[str, int] = {}
+            numbers: dict[str, int] = defaultdict(count().__next__)
             codes, ends = [], [0]
             for text in table["text"].to_pylist():
-                codes.append(np.array([numbers.setdefault(p, len(numbers)) for p in cut(text or "")], dtype=np.int32))
-                ends.append(ends[-1] + len(codes[-1]))
+                pieces = cut(text or "")
+                codes.append(np.fromiter(map(numbers.__getitem__, pieces), np.int32, len(pieces)))
+                ends.append(ends[-1] + len(pieces))
             whole, short = [], []
             for piece in numbers:
                 raw = piece.encode()
@@ -247,7 +251,9 @@ def split(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                 else:
                     whole.append(None)
                     short.append(raw.translate(byte_ids))
-            packed = press(np.concatenate([np.zeros(0, np.int32), *codes]).tobytes())
+            # byte by byte: the high bytes of small numbers take next to nothing
+            flat = np.concatenate([np.zeros(0, np.int32), *codes])
+            packed = press(flat.view(np.uint8).reshape(-1, 4).T.tobytes())
             columns = {
                 "docs": pa.array([table["doc_id"].combine_chunks().to_pylist()], pa.list_(pa.int64())),
                 "ends": pa.array([np.array(ends, np.int64)], pa.list_(pa.int64())),
@@ -285,19 +291,22 @@ def fold_frequent(batches: DataFrame, table: PairTable, most: int) -> Folded:
     return Folded(rows["piece"].combine_chunks(), rows["ids"].combine_chunks())
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most_frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, ids (array<int>): one row per document.
 
-    Ids are those of the rank file, without special tokens; a piece that is a token as a
-    whole gets its id at once. A null text is an empty one and has no ids. Rows are encoded
-    one by one, whatever their doc_id is; other columns are not passed on.
-    """
+def _encoded(
+    docs: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    most_frequent: int,
+    then: Callable[[Batches], Batches],
+    schema: str,
+) -> DataFrame:
+    """What ``then`` makes of doc_id and ids, in the process that gathers them."""
     table = PairTable(pair_ranks(ranks))
     batches = split(pick(docs, "doc_id", "text"), ranks, pattern)
     sent = docs.sparkSession.sparkContext.broadcast(fold_frequent(batches, table, most_frequent))
     kinds = "docs array<bigint>, ends array<bigint>, codes binary, lengths binary, known binary, short array<binary>"
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look_up(batches: Batches) -> Batches:
         """lengths: ids of each piece, -1 for those still to fold; known: the ids of the others."""
         folded = sent.value
         for batch in batches:
@@ -327,13 +336,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most_frequent
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["docs", "ends", "codes", "lengths", "known", "short"])
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Batches) -> Batches:
         unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(batch.num_rows):
                 docs, ends = batch["docs"][i].values, np.asarray(batch["ends"][i].values)
                 lengths, known = (np.frombuffer(batch[c][i].as_buffer(), np.int32) for c in ("lengths", "known"))
-                codes = np.frombuffer(unpress(batch["codes"][i].as_py()), np.int32)
+                planes = np.frombuffer(unpress(batch["codes"][i].as_py()), np.uint8).reshape(4, -1)
+                codes = np.ascontiguousarray(planes.T).view(np.int32).ravel()
                 folded, fold_ends = _flat(batch["short"][i].values)
                 lengths, there = lengths.astype(np.int64), lengths >= 0
                 flat = np.concatenate([known, folded])
@@ -350,25 +360,40 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most_frequent
                     ids = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(ids, pa.int32()))
                     yield pa.RecordBatch.from_arrays([docs[a:b], ids], ["doc_id", "ids"])
 
+    def finish(batches: Batches) -> Batches:
+        return then(gather(batches))
+
     # bound once: the literal is long, and Spark works on every mention of it
     fold = let(
         table.literal(), lambda slots: F.transform("short", lambda piece: merged(_byte_ids(piece), table, slots))
     )
     rows = batches.mapInArrow(look_up, kinds).withColumn("short", fold)
-    return rows.mapInArrow(gather, "doc_id long, ids array<int>")
+    return rows.mapInArrow(finish, schema)
 
 
-def decode(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``rows`` (doc_id, ids) with bytes, the tokens' bytes one after another, and packed,
-    the ids as little-endian 32-bit numbers. Null ids give null."""
+CODED = "doc_id long, ids array<int>"
+DECODED = f"{CODED}, bytes binary, packed binary"
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most_frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, ids (array<int>): one row per document.
+
+    Ids are those of the rank file, without special tokens; a piece that is a token as a
+    whole gets its id at once. A null text is an empty one and has no ids. Rows are encoded
+    one by one, whatever their doc_id is; other columns are not passed on.
+    """
+    return _encoded(docs, ranks, pattern, most_frequent, lambda batches: batches, CODED)
+
+
+def _decoder(docs: DataFrame, ranks: dict[bytes, int]) -> Callable[[Batches], Batches]:
     ordered = [b""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         ordered[i] = token
     length = np.array([len(t) for t in ordered], dtype=np.int64)
     pieces = np.frombuffer(b"".join(ordered), dtype=np.uint8)
-    sent = rows.sparkSession.sparkContext.broadcast((pieces, np.cumsum(length) - length, length))
+    sent = docs.sparkSession.sparkContext.broadcast((pieces, np.cumsum(length) - length, length))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         pieces, start, length = sent.value
         for batch in batches:
             raw, packed = [], []
@@ -381,11 +406,24 @@ def decode(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             columns = [batch["doc_id"], batch["ids"], pa.array(raw, pa.binary()), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "bytes", "packed"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary, packed binary")
+    return run
+
+
+def decode(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``rows`` (doc_id, ids) with bytes, the tokens' bytes one after another, and packed,
+    the ids as little-endian 32-bit numbers. Null ids give null."""
+    return rows.select("doc_id", "ids").mapInArrow(_decoder(rows, ranks), DECODED)
+
+
+def coded_and_decoded(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, most_frequent: int = FREQUENT
+) -> DataFrame:
+    """``decode`` of ``encode``, in one process a task instead of two."""
+    return _encoded(docs, ranks, pattern, most_frequent, _decoder(docs, ranks), DECODED)
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids, decoded: the texts' ids and the text that they decode to."""
-    back = decode(encode(docs, ranks, pattern), ranks)
+    back = coded_and_decoded(docs, ranks, pattern)
     text = F.decode("bytes", "UTF-8")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", text.alias("decoded"))

@@ -86,8 +86,7 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path(RANKS))
-    coded = byte_bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode(coded, ranks)
+    decoded = byte_bpe.coded_and_decoded(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -9,8 +9,8 @@ slots (remainders by two primes).
    packed lists of piece numbers, and the batch's distinct pieces.
 2. Pieces that several batches hold are counted over the table, and the most frequent are
    folded once. Their number is bounded, so they are sent to all tasks as flat arrays.
-3. Spark folds the pieces that are left in a batch there. Documents then take their ids from
-   their pieces.
+3. Spark folds the pieces that are left in a batch, a row each behind the batch's own.
+   Documents then take their ids from their pieces.
 
 Decoding concatenates the tokens' bytes.
 """
@@ -20,7 +20,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import count
 
 import numpy as np
@@ -39,8 +39,8 @@ Batches = Iterator[pa.RecordBatch]
 #: Text in a row of pieces. Pieces of more bytes than LONG are merged with a heap, which
 #: takes n log n steps where the fold takes n * n; the merges are the same.
 ROW_BYTES, LONG = 4 << 20, 48
-#: Pieces folded once for all batches, at most.
-FREQUENT = 1 << 20
+#: Pieces folded once for all batches, at most; how many of them pass the driver at a time.
+FREQUENT, SLICE = 1 << 20, 1 << 17
 #: Rank of a pair that does not merge, and an empty slot. A piece has at most 255 bytes where Spark folds it.
 NONE, EMPTY = 1 << 20, 1 << 62
 
@@ -199,14 +199,22 @@ def _taken(values: np.ndarray, ends: np.ndarray, order: np.ndarray) -> tuple[np.
 class Folded:
     """Pieces, as byte ids, with the ids they merge to, in order of their hashes."""
 
-    def __init__(self, pieces: pa.BinaryArray, ids: pa.ListArray):
-        data, ends = _flat(pieces)
+    def __init__(self, tables: Iterable[pa.Table]):
+        """``tables``: columns piece and ids, a slice of the pieces at a time."""
+        none = (np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+        parts = [none]
+        for rows in tables:
+            for batch in rows.to_batches():
+                (data, ends), (ids, id_ends) = _flat(batch["piece"]), _flat(batch["ids"])
+                parts.append((data.copy(), np.diff(ends), ids.astype(np.int32), np.diff(id_ends)))
+        data, size, ids, id_size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        ends = np.append(0, np.cumsum(size))
         hashes = _hashes(data, ends)
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
         self.data, self.ends = _taken(data, ends, order)
-        self.ids, self.id_ends = _taken(*_flat(ids), order)
-        self.ids = self.ids.astype(np.int32)
+        self.ids, self.id_ends = _taken(ids, np.append(0, np.cumsum(id_size)), order)
 
     def find(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of each piece here; -1 for one that is not held."""
@@ -283,13 +291,12 @@ def fold_frequent(batches: DataFrame, table: PairTable, most: int) -> Folded:
         if held + r["count"] > most:
             break
         least, held = r.times, held + r["count"]
-    if not held:
-        return Folded(pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32())))
     fold = let(table.literal(), lambda slots: merged(_byte_ids(F.col("piece")), table, slots))
-    rows = counted.where(F.col("times") >= least).repartition(-(-held // 8192))
-    rows = rows.select("piece", fold.alias("ids")).toArrow().combine_chunks()
-    return Folded(rows["piece"].combine_chunks(), rows["ids"].combine_chunks())
-
+    rows = counted.where(F.col("times") >= least) if held else counted.limit(0)
+    rows = stored(rows.repartition(max(1, -(-held // 8192))).select("piece", fold.alias("ids")), "bpe-folded")
+    slices = max(1, -(-held // SLICE))
+    own = F.pmod(F.xxhash64("piece"), F.lit(slices))
+    return Folded(rows.where(own == i).toArrow() for i in range(slices))
 
 
 def _encoded(
@@ -304,10 +311,13 @@ def _encoded(
     table = PairTable(pair_ranks(ranks))
     batches = split(pick(docs, "doc_id", "text"), ranks, pattern)
     sent = docs.sparkSession.sparkContext.broadcast(fold_frequent(batches, table, most_frequent))
-    kinds = "docs array<bigint>, ends array<bigint>, codes binary, lengths binary, known binary, short array<binary>"
+    kinds = "docs array<bigint>, ends array<bigint>, codes binary, lengths binary, known binary, piece binary"
 
     def look_up(batches: Batches) -> Batches:
-        """lengths: ids of each piece, -1 for those still to fold; known: the ids of the others."""
+        """A row per batch, then one for each piece that is still to fold, in order.
+
+        lengths: ids of each piece of the batch, -1 for those to fold; known: the ids of the others.
+        """
         folded = sent.value
         for batch in batches:
             for i in range(batch.num_rows):
@@ -326,48 +336,62 @@ def _encoded(
                 there = lengths >= 0
                 known = ids[W.runs(start[there], lengths[there])].astype(np.int32)
                 left = short.filter(pa.array(~hit))
-                columns = [
-                    batch["docs"].slice(i, 1),
-                    batch["ends"].slice(i, 1),
-                    batch["codes"].slice(i, 1),
-                    pa.array([lengths.astype(np.int32).tobytes()], pa.binary()),
-                    pa.array([known.tobytes()], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array([0, len(left)], pa.int32()), left),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["docs", "ends", "codes", "lengths", "known", "short"])
+                n, none = len(left), pa.nulls
+                head = [batch[c].slice(i, 1) for c in ("docs", "ends", "codes")]
+                head += [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (lengths, known)]
+                names = ["docs", "ends", "codes", "lengths", "known", "piece"]
+                yield pa.RecordBatch.from_arrays([*head, none(1, pa.binary())], names)
+                for a in range(0, n, 1 << 14):
+                    some = left.slice(a, 1 << 14)
+                    blank = [none(len(some), x.type) for x in head]
+                    yield pa.RecordBatch.from_arrays([*blank, some], names)
+
+    def whole(batches: Batches) -> Iterator[tuple[dict, list]]:
+        """A batch's row, and the folded ids of its pieces, which are the rows after it."""
+        head, ids = None, []
+        for batch in batches:
+            at = np.flatnonzero(np.asarray(batch["docs"].is_valid()))
+            for i, j in zip([-1, *at.tolist()], [*at.tolist(), batch.num_rows], strict=True):
+                if i >= 0:
+                    if head is not None:
+                        yield head, ids
+                    head, ids = batch.slice(i, 1), []
+                if j > i + 1:
+                    ids.append(batch["ids"].slice(i + 1, j - i - 1))
+        if head is not None:
+            yield head, ids
 
     def gather(batches: Batches) -> Batches:
         unpress = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for i in range(batch.num_rows):
-                docs, ends = batch["docs"][i].values, np.asarray(batch["ends"][i].values)
-                lengths, known = (np.frombuffer(batch[c][i].as_buffer(), np.int32) for c in ("lengths", "known"))
-                planes = np.frombuffer(unpress(batch["codes"][i].as_py()), np.uint8).reshape(4, -1)
-                codes = np.ascontiguousarray(planes.T).view(np.int32).ravel()
-                folded, fold_ends = _flat(batch["short"][i].values)
-                lengths, there = lengths.astype(np.int64), lengths >= 0
-                flat = np.concatenate([known, folded])
-                starts = np.empty(len(lengths), dtype=np.int64)
-                starts[there] = np.cumsum(lengths[there]) - lengths[there]
-                starts[~there] = fold_ends[:-1] + len(known)
-                lengths[~there] = np.diff(fold_ends)
-                # some documents at a time, as their ids are many
-                for a, b in W.pieces(ends, 1 << 18):
-                    used = codes[ends[a] : ends[b]]
-                    size = lengths[used]
-                    ids = flat[W.runs(starts[used], size)]
-                    total = np.append(0, np.cumsum(size))[ends[a : b + 1] - ends[a]]
-                    ids = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(ids, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([docs[a:b], ids], ["doc_id", "ids"])
+        for head, folded in whole(batches):
+            docs, ends = head["docs"][0].values, np.asarray(head["ends"][0].values)
+            lengths, known = (np.frombuffer(head[c][0].as_buffer(), np.int32) for c in ("lengths", "known"))
+            planes = np.frombuffer(unpress(head["codes"][0].as_py()), np.uint8).reshape(4, -1)
+            codes = np.ascontiguousarray(planes.T).view(np.int32).ravel()
+            parts = [_flat(x) for x in folded]
+            sizes = np.concatenate([np.zeros(0, np.int64), *[np.diff(e) for _, e in parts]])
+            flat = np.concatenate([known, *[x.astype(np.int32) for x, _ in parts]])
+            lengths, there = lengths.astype(np.int64), lengths >= 0
+            starts = np.empty(len(lengths), dtype=np.int64)
+            starts[there] = np.cumsum(lengths[there]) - lengths[there]
+            starts[~there] = np.cumsum(sizes) - sizes + len(known)
+            lengths[~there] = sizes
+            # some documents at a time, as their ids are many
+            for a, b in W.pieces(ends, 1 << 18):
+                used = codes[ends[a] : ends[b]]
+                size = lengths[used]
+                ids = flat[W.runs(starts[used], size)]
+                total = np.append(0, np.cumsum(size))[ends[a : b + 1] - ends[a]]
+                ids = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([docs[a:b], ids], ["doc_id", "ids"])
 
     def finish(batches: Batches) -> Batches:
         return then(gather(batches))
 
     # bound once: the literal is long, and Spark works on every mention of it
-    fold = let(
-        table.literal(), lambda slots: F.transform("short", lambda piece: merged(_byte_ids(piece), table, slots))
-    )
-    rows = batches.mapInArrow(look_up, kinds).withColumn("short", fold)
+    fold = let(table.literal(), lambda slots: merged(_byte_ids(F.col("piece")), table, slots))
+    rows = batches.mapInArrow(look_up, kinds)  # the rows keep their order up to the next step of the task
+    rows = rows.withColumn("ids", F.when(F.col("piece").isNotNull(), fold)).drop("piece")
     return rows.mapInArrow(finish, schema)
 
 

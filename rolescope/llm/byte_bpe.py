@@ -191,9 +191,13 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _taken(values: np.ndarray, ends: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries in another order, as ``_flat`` gives them."""
+    """Entries in another order, as ``_flat`` gives them; some at a time, as places take more than values."""
     size = np.diff(ends)[order]
-    return values[W.runs(ends[order], size)], np.append(0, np.cumsum(size))
+    parts = [values[:0]]
+    for a in range(0, len(order), 1 << 15):
+        some = slice(a, a + (1 << 15))
+        parts.append(values[W.runs(ends[order[some]], size[some])])
+    return np.concatenate(parts), np.append(0, np.cumsum(size))
 
 
 class Folded:

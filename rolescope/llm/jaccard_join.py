@@ -6,9 +6,12 @@ Two documents are linked when ``100 * intersection >= percent * union`` of their
 2. Shingles are put in one order for all documents: shingles known to be frequent last, by
    frequency, the rest by hash. In that order, linked documents share a shingle among the
    first n - ceil(t n) + 1 of each (the prefix); and m shingles among the first
-   n - ceil(t n) + m (a multi-match prefix). A document takes the m for which its prefix and
-   its estimated candidates, the sum of frequencies over the prefix divided by m, are
-   fewest; frequent shingles in a prefix make m large. A pair must share as many as the smaller m of the two says.
+   n - ceil(t n) + m (a multi-match prefix). A document takes the m for which its prefix, the
+   meetings it leads to (the sum of frequencies over the prefix) and the candidates estimated
+   to come of them (that sum divided by m) cost least; frequent shingles in a prefix make m
+   large. A pair must share as many as the smaller m of the two says.
+   Both sizes known, the overlap that a link needs is known too, and cuts the prefixes of a
+   pair further; the smaller document of any pair needs about half its prefix.
 3. Documents that share a rare prefix shingle are compared in pairs. The users of a frequent
    one are first compared with one of them only. Only pairs that the links found so far do
    not already hold together are then looked at, all of them.
@@ -33,8 +36,10 @@ from .store import stored
 
 #: Frequent shingles that are told apart in the order; a fixed number, it bounds what is sent to tasks.
 ORDERED = 1 << 16
-#: Longest multi-match; users of a shingle up to which all of its pairs are candidates at once.
-MOST_MATCHES, FEW = 8, 8
+#: Multi-matches that are weighed for a document; users of a shingle up to which all of its pairs are candidates at once.
+MOST_MATCHES, FEW = 255, 8
+#: What comparing two whole sets costs, in meetings of two documents under a shingle. It chooses m only.
+COMPARISON = 8
 
 
 def shingles(column, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +115,10 @@ def _prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, ti
                 else:
                     order = np.lexsort((h, c))
                     h, c = h[order], c[order]
-                # rows of the index, and candidates: users of the prefix, fewer with every match more
+                # rows of the index; users of the prefix are met, and compared the less the more matches they need
                 sizes = np.arange(base, min(n, base + MOST_MATCHES - 1) + 1)
-                spent = sizes + np.cumsum(c)[sizes - 1] / (sizes - base + 1) if n else [0]
+                met = np.cumsum(c - 1)[sizes - 1] if n else np.zeros(0)
+                spent = sizes + met * (1 + COMPARISON / (sizes - base + 1))
                 m = int(np.argmin(spent)) + 1 if n else 0
                 chosen.append(h[: base + m - 1] if n else h)
                 matches.append(m)
@@ -158,9 +164,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
 
 
-def _packed(n, m, level):
-    """Set size, multi-match and level of a prefix shingle in one number: rows of uses are many."""
-    return F.shiftleft(n, 8) + F.shiftleft(m, 4).cast("long") + level
+def _packed(n, m, i):
+    """Set size, multi-match and place of a prefix shingle in one number: rows of uses are many."""
+    return F.shiftleft(n, 36) + F.shiftleft(m.cast("long"), 28) + i
+
+
+def _size(use):
+    return F.shiftright(use["info"], 36)
+
+
+def _matches(use):
+    return F.shiftright(use["info"], 28).bitwiseAND(F.lit(255).cast("long"))
+
+
+def _place(use):
+    return use["info"].bitwiseAND(F.lit((1 << 28) - 1).cast("long"))
 
 
 def _pair(x, y):
@@ -169,20 +187,31 @@ def _pair(x, y):
     return F.struct(
         F.when(first, x["doc"]).otherwise(y["doc"]).alias("a"),
         F.when(first, y["doc"]).otherwise(x["doc"]).alias("b"),
-        F.least(*_matches(x, y)).alias("need"),
+        F.least(_matches(x), _matches(y)).alias("need"),
     )
 
 
-def _matches(x, y):
-    return [F.shiftright(u["info"], 4).bitwiseAND(F.lit(15).cast("long")) for u in (x, y)]
+def _may_link(x, y, percent: int):
+    """The shingle lies in the prefix of both that their sizes and common m ask for.
 
+    Linked sets share o = ceil(t (n + n') / (1 + t)) shingles or more, so the m-th one they share is among
+    the first n - o + m of either.
+    """
+    overlap = F.floor((percent * (_size(x) + _size(y)) + 99 + percent) / (100 + percent))
+    need = F.least(_matches(x), _matches(y)) - overlap
+    sizes = 100 * F.least(_size(x), _size(y)) >= percent * F.greatest(_size(x), _size(y))
+    return sizes & (_place(x) < _size(x) + need) & (_place(y) < _size(y) + need) & (x["doc"] != y["doc"])
 
-def _may_link(x, y, percent: int):
-    """Sizes near enough, and the shingle lies in the prefix of both that their common m asks for."""
-    n = [F.shiftright(u["info"], 8) for u in (x, y)]
-    level = [u["info"].bitwiseAND(F.lit(15).cast("long")) for u in (x, y)]
-    sizes = 100 * F.least(*n) >= percent * F.greatest(*n)
-    return sizes & (F.greatest(*level) <= F.least(*_matches(x, y))) & (x["doc"] != y["doc"])
+
+def _serves_smaller(use, percent: int):
+    """Whether the shingle lies in the prefix that the smaller document of a pair needs."""
+    overlap = F.floor((2 * percent * _size(use) + 99 + percent) / (100 + percent))
+    return _place(use) < _size(use) - overlap + _matches(use)
+
+
+def _larger(x, y):
+    """Pairs once each: x has the larger set, or the larger doc_id of equal sizes."""
+    return (_size(x) > _size(y)) | ((_size(x) == _size(y)) & (x["doc"] > y["doc"]))
 
 
 def link_groups(docs: DataFrame, percent: int = 90, size: int = 3, few: int = FEW) -> DataFrame:
@@ -207,10 +236,8 @@ def link_groups(docs: DataFrame, percent: int = 90, size: int = 3, few: int = FE
     prefixes = _prefixes(docs, size, percent, keys[order], times[order])
     prefixes = prefixes.join(classes.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
     prefixes = stored(prefixes, "jaccard-prefixes")
-    base = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    uses = prefixes.select("doc_id", "n", "m", base.alias("base"), F.posexplode("prefix").alias("i", "shingle"))
-    level = F.greatest(F.lit(1).cast("long"), F.col("i") - F.col("base") + 2)
-    uses = uses.select("shingle", F.col("doc_id").alias("doc"), _packed(F.col("n"), F.col("m"), level).alias("info"))
+    uses = prefixes.select("doc_id", "n", "m", F.posexplode("prefix").alias("i", "shingle"))
+    uses = uses.select("shingle", F.col("doc_id").alias("doc"), _packed(F.col("n"), F.col("m"), F.col("i")).alias("info"))
     shared = uses.groupBy("shingle").agg(F.count("*").alias("users"), F.min("doc").alias("lead")).where("users > 1")
     uses = stored(uses.join(shared, "shingle"), "jaccard-uses")
 
@@ -229,7 +256,7 @@ def link_groups(docs: DataFrame, percent: int = 90, size: int = 3, few: int = FE
     # a guess that spares most comparisons in large groups; what it misses is looked at below
     led = frequent.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"), "info")
     led = led.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("info").alias("info"))
-    led = led.where(2 * F.col("n") >= F.shiftright("info", 4).bitwiseAND(F.lit(15).cast("long"))).select("a", "b", "n")
+    led = led.where(2 * F.col("n") >= _matches({"info": F.col("info")})).select("a", "b", "n")
     first = near.where("n >= need").select("a", "b", "n").union(led)
     first = first.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
     first = stored(first, "jaccard-first")
@@ -237,8 +264,10 @@ def link_groups(docs: DataFrame, percent: int = 90, size: int = 3, few: int = FE
     def texts_of(ids: DataFrame) -> DataFrame:
         return stored(_sets(docs.join(ids.distinct(), "doc_id", "left_semi"), size), "jaccard-sets")
 
-    likely = near.where("n >= need").select(F.explode(F.array("a", "b")).alias("doc_id"))
-    sets = texts_of(likely.union(first.select(F.explode(F.array("a", "b")))))
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct())
+
+    sets = texts_of(ends(near.where("n >= need").select("a", "b").union(first)))
     links = stored(_verified(first, sets, percent), "jaccard-links")
     groups = components(links)
 
@@ -252,14 +281,14 @@ def link_groups(docs: DataFrame, percent: int = 90, size: int = 3, few: int = FE
     several = mixed.groupBy("shingle").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most")
     mixed = mixed.join(several.select("shingle"), "shingle", "left_semi")
     mixed = mixed.select("shingle", F.struct("doc", "info").alias("use"), "g")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    far = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.g") < F.col("y.g")))
-    far = far.where(_may_link(F.col("x.use"), F.col("y.use"), percent))
+    x, y = mixed.alias("x"), mixed.where(_serves_smaller(F.col("use"), percent)).alias("y")
+    far = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.g") != F.col("y.g")))
+    far = far.where(_larger(F.col("x.use"), F.col("y.use")) & _may_link(F.col("x.use"), F.col("y.use"), percent))
     far = far.select(_pair(F.col("x.use"), F.col("y.use")).alias("p")).select("p.*")
     far = far.groupBy("a", "b", "need").agg(F.count("*").alias("n"))
     rest = apart.union(far).groupBy("a", "b", "need").agg(F.sum("n").alias("n")).where("n >= need").select("a", "b")
     rest = stored(rest.join(first, ["a", "b"], "left_anti"), "jaccard-rest")
-    more = rest.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    more = ends(rest).distinct()
     more = more.join(sets.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti")
     if not more.isEmpty():
         sets = sets.union(texts_of(more))

@@ -39,7 +39,7 @@ ORDERED = 1 << 16
 #: Multi-matches that are weighed for a document; users of a shingle up to which all of its pairs are candidates at once.
 MOST_MATCHES, FEW = 255, 8
 #: What comparing two whole sets costs, in meetings of two documents under a shingle. It chooses m only.
-COMPARISON = 8
+COMPARISON = 4
 
 
 def shingles(column, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +117,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, ti
                     h, c = h[order], c[order]
                 # rows of the index; users of the prefix are met, and compared the less the more matches they need
                 sizes = np.arange(base, min(n, base + MOST_MATCHES - 1) + 1)
-                met = np.cumsum(c - 1)[sizes - 1] if n else np.zeros(0)
+                met = np.cumsum(c)[sizes - 1] if n else np.zeros(0)
                 spent = sizes + met * (1 + COMPARISON / (sizes - base + 1))
                 m = int(np.argmin(spent)) + 1 if n else 0
                 chosen.append(h[: base + m - 1] if n else h)
@@ -238,7 +238,7 @@ def link_groups(docs: DataFrame, percent: int = 90, size: int = 3, few: int = FE
     prefixes = stored(prefixes, "jaccard-prefixes")
     uses = prefixes.select("doc_id", "n", "m", F.posexplode("prefix").alias("i", "shingle"))
     uses = uses.select("shingle", F.col("doc_id").alias("doc"), _packed(F.col("n"), F.col("m"), F.col("i")).alias("info"))
-    shared = uses.groupBy("shingle").agg(F.count("*").alias("users"), F.min("doc").alias("lead")).where("users > 1")
+    shared = uses.groupBy("shingle").agg(F.count("*").alias("users"), F.min(F.struct("doc", "info")).alias("lead")).where("users > 1")
     uses = stored(uses.join(shared, "shingle"), "jaccard-uses")
 
     rare, frequent = uses.where(F.col("users") <= few), uses.where(F.col("users") > few)
@@ -254,15 +254,16 @@ def link_groups(docs: DataFrame, percent: int = 90, size: int = 3, few: int = FE
     near = lists.select(F.explode(found).alias("p")).select("p.*").groupBy("a", "b", "need").agg(F.count("*").alias("n"))
     near = stored(near, "jaccard-near")
     # a guess that spares most comparisons in large groups; what it misses is looked at below
-    led = frequent.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"), "info")
-    led = led.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("info").alias("info"))
-    led = led.where(2 * F.col("n") >= _matches({"info": F.col("info")})).select("a", "b", "n")
+    led = frequent.where(_may_link(F.col("lead"), {"doc": F.col("doc"), "info": F.col("info")}, percent))
+    led = led.select(_pair(F.col("lead"), {"doc": F.col("doc"), "info": F.col("info")}).alias("p")).select("p.*")
+    led = led.groupBy("a", "b", "need").agg(F.count("*").alias("n")).where("2 * n >= need").select("a", "b", "n")
     first = near.where("n >= need").select("a", "b", "n").union(led)
     first = first.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
     first = stored(first, "jaccard-first")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        return stored(_sets(docs.join(ids.distinct(), "doc_id", "left_semi"), size), "jaccard-sets")
+        ids = stored(ids.distinct(), "jaccard-ids")  # of a known size, so that texts are shuffled only for many
+        return stored(_sets(docs.join(ids, "doc_id", "left_semi"), size), "jaccard-sets")
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct())

@@ -7,8 +7,8 @@ Two documents are linked when ``100 * intersection >= percent * union`` of their
    frequency, the rest by hash. In that order, linked documents share a shingle among the
    first n - ceil(t n) + 1 of each (the prefix); and m shingles among the first
    n - ceil(t n) + m (a multi-match prefix). A document takes the m for which its prefix, the
-   meetings it leads to (the sum of frequencies over the prefix) and the candidates estimated
-   to come of them (that sum divided by m) cost least; frequent shingles in a prefix make m
+   meetings with documents of its size (the sum of frequencies over the part they need) and the
+   candidates estimated to come of them (that sum divided by m) cost least; frequent shingles in a prefix make m
    large. A pair must share as many as the smaller m of the two says.
    Both sizes known, the overlap that a link needs is known too, and cuts the prefixes of a
    pair further; the smaller document of any pair needs about half its prefix.
@@ -35,7 +35,7 @@ from .components import components
 from .store import stored
 
 #: Frequent shingles that are told apart in the order; a fixed number, it bounds what is sent to tasks.
-ORDERED = 1 << 16
+ORDERED = 1 << 18
 #: Multi-matches that are weighed for a document; users of a shingle up to which all of its pairs are candidates at once.
 MOST_MATCHES, FEW = 255, 8
 #: What comparing two whole sets costs, in meetings of two documents under a shingle. It chooses m only.
@@ -115,10 +115,13 @@ def _prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, ti
                 else:
                     order = np.lexsort((h, c))
                     h, c = h[order], c[order]
-                # rows of the index; users of the prefix are met, and compared the less the more matches they need
+                # rows of the index; users of the part that a partner of the same size needs are met, and
+                # compared the less the more matches they need
                 sizes = np.arange(base, min(n, base + MOST_MATCHES - 1) + 1)
-                met = np.cumsum(c)[sizes - 1] if n else np.zeros(0)
-                spent = sizes + met * (1 + COMPARISON / (sizes - base + 1))
+                m = sizes - base + 1
+                alike = n - (2 * percent * n + 99 + percent) // (100 + percent)
+                met = np.cumsum(c)[alike + m - 1] if n else np.zeros(0)
+                spent = sizes + met * (1 + COMPARISON / m)
                 m = int(np.argmin(spent)) + 1 if n else 0
                 chosen.append(h[: base + m - 1] if n else h)
                 matches.append(m)
@@ -224,9 +227,9 @@ def link_groups(docs: DataFrame, percent: int = 90, size: int = 3, few: int = FE
     """
     facts = stored(_facts(docs, size), "jaccard-facts")
     common = facts.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
-    common = common.orderBy(F.desc("times"), "shingle").limit(ORDERED).collect()
-    keys = np.array([r.shingle for r in common], dtype=np.int64).view(np.uint64)
-    times = np.array([r.times for r in common], dtype=np.float64)
+    common = common.orderBy(F.desc("times"), "shingle").limit(ORDERED).toArrow()
+    keys = np.asarray(common["shingle"]).astype(np.int64).view(np.uint64)
+    times = np.asarray(common["times"]).astype(np.float64)
     order = np.argsort(keys)
 
     rows = facts.where("sign is not null").select("doc_id", "n_shingles", "sign")

@@ -36,6 +36,8 @@ from .store import stored
 
 #: Frequent shingles that are told apart in the order; a fixed number, it bounds what is sent to tasks.
 ORDERED = 1 << 18
+#: Text that a task works on at a time.
+BATCH_BYTES = 2 << 20
 #: Multi-matches that are weighed for a document; users of a shingle up to which all of its pairs are candidates at once.
 MOST_MATCHES, FEW = 255, 8
 #: What comparing two whole sets costs, in meetings of two documents under a shingle. It chooses m only.
@@ -65,11 +67,11 @@ def shingles(column, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(row, np.arange(rows + 1))
 
 
-def _facts(docs: DataFrame, size: int, often: int = 3) -> DataFrame:
+def _facts(docs: DataFrame, size: int, often: int = 2) -> DataFrame:
     """A row per document (n_shingles, signature of the set) and per shingle common within a batch (times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in W.batches(batches):
+        for table in W.batches(batches, most=BATCH_BYTES):
             hashes, first = shingles(table["text"], size)
             signs = [hashlib.md5(hashes[a:b].tobytes()).digest() for a, b in zip(first[:-1], first[1:], strict=True)]
             ranked = np.sort(hashes)
@@ -98,7 +100,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, ti
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, times = sent.value
-        for table in W.batches(batches):
+        for table in W.batches(batches, most=BATCH_BYTES):
             hashes, first = shingles(table["text"], size)
             cost = np.ones(len(hashes))
             if len(frequent):
@@ -142,7 +144,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, ti
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in W.batches(batches):
+        for table in W.batches(batches, most=BATCH_BYTES):
             hashes, first = shingles(table["text"], size)
             packed = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield from pa.table({"doc": table["doc_id"], "hashes": pa.array(packed, pa.binary())}).to_batches()

@@ -31,6 +31,8 @@ from . import words as W
 from .store import stored
 
 BLOCK_BYTES = 12 << 20
+#: Text of a block whose words are found at a time.
+TOKENS_BYTES = 1 << 20
 PART_TOKENS = 2 << 20
 #: Keys that stand for the end of a text and, as a context, for its beginning.
 END, START = np.uint64(1), np.uint64(2)
@@ -100,22 +102,22 @@ class Trie:
 
 def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of all tokens of a block with the end of each text, their rows, and where rows begin."""
-    w = W.words(table["text"], fold=True)
     rows = table.num_rows
-    first = w.first + np.arange(rows + 1)
+    column, (_, offsets) = table["text"], W.text_bytes(table["text"])
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in W.pieces(offsets, TOKENS_BYTES):  # only hashes are kept, so words of some rows at a time do
+        w = W.words(column.slice(a, b - a), fold=True)
+        hashes.append(w.hash)
+        counts.append(w.counts())
+    first = np.append(0, np.cumsum(np.concatenate(counts) + 1))
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(first))
     key = np.full(first[-1], END, dtype=np.uint64)
-    row = np.repeat(np.arange(rows), np.diff(first))
-    key[np.arange(len(w)) + w.row] = w.hash | np.uint64(4)
+    word = np.ones(len(key), dtype=bool)
+    word[first[1:] - 1] = False
+    key[word] = np.concatenate(hashes) | np.uint64(4)
     return key, row, first
 
 
-def _contexts(key: np.ndarray, first: np.ndarray) -> np.ndarray:
-    before = np.empty_like(key)
-    before[1:] = key[:-1]
-    before[first[:-1]] = START
-    return before
-
-
 def _cut(part: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     """(part, begin, end) of the runs of a sorted array of parts."""
     at = np.searchsorted(part, np.arange(parts + 1))
@@ -217,22 +219,35 @@ def score(
 
     def bigrams(key, first, number, known):
         """Distinct bigrams of a block in order of part, context, word; each token's place among them."""
-        context = _contexts(key, first)
-        times = np.empty(len(key), dtype=np.int64)  # of the context
-        times[1:] = known[number[:-1]]
-        times[first[:-1]] = known[number[first[1:] - 1]]  # as many beginnings as ends
-        before = np.empty_like(number)
-        before[1:] = number[:-1]
-        before[first[:-1]] = len(known)
-        _, index, place = W.grouped(before * (len(known) + 1) + number)
-        context, times, key = context[index], times[index], key[index]
-        word = W.mix(key) & np.uint64((1 << 40) - 1)
+        pair = np.empty_like(number)
+        pair[1:] = number[:-1]
+        pair[first[:-1]] = len(known)
+        pair *= len(known) + 1
+        pair += number
+        _, index, place = W.grouped(pair)
+        del pair
+        begins = np.zeros(len(key), dtype=bool)
+        begins[first[:-1]] = True
+        begins = begins[index]
+        context = np.where(begins, START, key[index - 1])
+        end = number[first[1:] - 1][:1]  # of the end, which all texts share: as many beginnings as ends
+        times = known[np.where(begins, end, number[index - 1])]  # of the context
+        word = W.mix(key[index]) & np.uint64((1 << 40) - 1)
+        del index, begins
         spread = (times // part_tokens + 1).astype(np.uint64)
         part = _scaled(W.mix(context + word % spread), parts)
+        del spread
         order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        return part[order], context[order], word[order], times[order], rank[place]
+        place = rank[place]
+        del rank
+        # one after another, so that only one of them is held twice
+        part = part[order]
+        context = context[order]
+        word = word[order]
+        times = times[order]
+        return part, context, word, times, place
 
     def ask_bigrams(block: pa.Table, counts: pa.Table) -> pa.Table:
         key, row, first, number, known = counted(block, counts)
@@ -283,6 +298,7 @@ def score(
         is_word = told["words"].to_numpy(zero_copy_only=False).astype(bool)
         key, row, first, number, known = counted(block, told.filter(pa.array(is_word)))
         part, context, word, times, place = bigrams(key, first, number, known)
+        del key, part, context, word
         found = _raw(told.filter(pa.array(~is_word)).sort_by("part")["counts"])
         share = SHARES[np.concatenate(found) if found else np.zeros(0, np.uint8)]
         c = known[number]

@@ -71,9 +71,13 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ranked = keys[order]
     new = np.ones(len(keys), dtype=bool)
     new[1:] = ranked[1:] != ranked[:-1]
+    distinct, place = ranked[new], order[new]
+    del ranked
+    rank = np.cumsum(new)
+    rank -= 1
     number = np.empty(len(keys), dtype=np.int64)
-    number[order] = np.cumsum(new) - 1
-    return ranked[new], order[new], number
+    number[order] = rank
+    return distinct, place, number
 
 
 def runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -68,6 +68,33 @@ def test_records_keep_their_order_and_place(small_splits, tmp_path):
     assert [r.text for r in got] == [f'{i},"a\nb"' for i in range(200)]
 
 
+@pytest.mark.parametrize("bits", [0, 2])
+def test_chunks_of_one_block_give_the_rows_of_whole_files(spark, tmp_path, monkeypatch, bits):
+    monkeypatch.setattr(records, "CHUNK_BITS", bits)
+    monkeypatch.setattr(records, "TASK_BYTES", 500)
+    for i in range(2):
+        (tmp_path / f"{i}.csv").write_text(random_csv(40 + i, 150), encoding="utf-8", newline="")
+    lines = records._lines(spark, str(tmp_path))
+    assert lines.select("file", "block").distinct().count() == 2
+    assert lines.groupBy("file", "block", "chunk").count().agg(F.max("count")).first()[0] <= 1 << bits
+    whole = rows(files.read_raw_csv(spark, str(tmp_path), schemas.SKILLS))
+    load = headers.read_by_header(spark, str(tmp_path), schemas.SKILLS)
+    assert len(whole) == 300 and rows(load.rows) == whole
+    got = records.csv_records(spark, str(tmp_path)).orderBy("file", "block", "record").collect()
+    assert len({(r.file, r.block, r.record) for r in got}) == 302
+    keys = [r.text.split(",")[0] for r in got]
+    assert keys == ["job_link", *(f"k{i}" for i in range(150))] * 2
+
+
+def test_lines_of_a_large_block_make_chunks(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("job_link,job_skills\n" + "".join(f"k{i},some skills\n" for i in range(60_000)))
+    monkeypatch.setattr(records, "TASK_BYTES", 100_000)
+    lines = records._lines(spark, str(tmp_path)).groupBy("file", "block", "chunk").count()
+    assert lines.agg(F.max("count")).first()[0] <= 1 << 13
+    load = headers.read_by_header(spark, str(tmp_path), schemas.SKILLS)
+    assert load.rows.count() == 60_000 and load.rejects.isEmpty()
+
+
 def test_columns_are_bound_by_name(spark, tmp_path):
     (tmp_path / "a.csv").write_text("job_link,job_skills\n1,x\n")
     (tmp_path / "b.csv").write_text("job_skills,job_link\ny,2\n")

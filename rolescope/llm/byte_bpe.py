@@ -1,8 +1,8 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words.
 
 Texts are cut into pieces by the tokenizer's pattern, and Spark folds the merges over each
-distinct piece: a step looks up all neighbouring pairs in a literal rank map and joins the
-leftmost pair of lowest rank. The map is a literal array of slots; a pair is in one of two
+distinct piece: a step looks up all neighbouring pairs in a rank map and joins the leftmost
+pair of lowest rank. The map is an array of slots, a scalar subquery's; a pair is in one of two
 slots (remainders by two primes).
 
 1. Documents are cut into pieces once. A batch of them is stored as one row: the documents as
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let
@@ -96,8 +96,10 @@ class PairTable:
                 return False
         return True
 
-    def literal(self) -> Column:
-        return F.split(F.lit(",".join(map(str, self.slots))), ",").cast("array<bigint>")
+    def stored(self, spark: SparkSession) -> DataFrame:
+        """One row: slots. A literal of that length would be in every plan, its texts and its tasks' closures."""
+        slots = pa.array([self.slots], pa.list_(pa.int64()))
+        return stored(spark.createDataFrame(pa.table({"slots": slots})), "bpe-slots")
 
     def rank(self, slots: Column, left: Column, right: Column) -> Column:
         """The rank of a pair of ids; NONE for one that does not merge or has a null in it."""
@@ -180,6 +182,9 @@ def _hashes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _flat(column) -> tuple[np.ndarray, np.ndarray]:
     """The values of a list or binary array one after another, and where each entry begins and the last ends."""
+    if not len(column):  # its offsets may be empty too
+        values = np.asarray(column.values) if pa.types.is_list(column.type) else np.zeros(0, np.uint8)
+        return values[:0], np.zeros(1, np.int64)
     if pa.types.is_list(column.type):
         offsets = np.asarray(column.offsets, dtype=np.int64)
         return np.asarray(column.values)[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -284,8 +289,9 @@ def _byte_ids(piece: Column) -> Column:
     return F.transform(letters, lambda c: F.ascii(c))
 
 
-def fold_frequent(batches: DataFrame, table: PairTable, most: int) -> Folded:
+def fold_frequent(batches: DataFrame, table: PairTable, most: int, slots: DataFrame | None = None) -> Folded:
     """The pieces that most batches hold, at most ``most`` and none that one batch alone holds, folded once each."""
+    slots = slots or table.stored(batches.sparkSession)
     pieces = batches.select(F.explode("short").alias("piece"))
     counted = stored(pieces.groupBy("piece").agg(F.count("*").alias("times")).where("times > 1"), "bpe-pieces")
     top = F.lit(1 << 16).cast("long")
@@ -295,9 +301,10 @@ def fold_frequent(batches: DataFrame, table: PairTable, most: int) -> Folded:
         if held + r["count"] > most:
             break
         least, held = r.times, held + r["count"]
-    fold = let(table.literal(), lambda slots: merged(_byte_ids(F.col("piece")), table, slots))
+    fold = let(F.col("slots"), lambda slots: merged(_byte_ids(F.col("piece")), table, slots))
     rows = counted.where(F.col("times") >= least) if held else counted.limit(0)
-    rows = stored(rows.repartition(max(1, -(-held // 8192))).select("piece", fold.alias("ids")), "bpe-folded")
+    rows = rows.repartition(max(1, -(-held // 8192))).withColumn("slots", slots.scalar())
+    rows = stored(rows.select("piece", fold.alias("ids")), "bpe-folded")
     slices = max(1, -(-held // SLICE))
     own = F.pmod(F.xxhash64("piece"), F.lit(slices))
     return Folded(rows.where(own == i).toArrow() for i in range(slices))
@@ -313,8 +320,9 @@ def _encoded(
 ) -> DataFrame:
     """What ``then`` makes of doc_id and ids, in the process that gathers them."""
     table = PairTable(pair_ranks(ranks))
+    slots = table.stored(docs.sparkSession)
     batches = split(pick(docs, "doc_id", "text"), ranks, pattern)
-    sent = docs.sparkSession.sparkContext.broadcast(fold_frequent(batches, table, most_frequent))
+    sent = docs.sparkSession.sparkContext.broadcast(fold_frequent(batches, table, most_frequent, slots))
     kinds = "docs array<bigint>, ends array<bigint>, codes binary, lengths binary, known binary, piece binary"
 
     def look_up(batches: Batches) -> Batches:
@@ -392,10 +400,11 @@ def _encoded(
     def finish(batches: Batches) -> Batches:
         return then(gather(batches))
 
-    # bound once: the literal is long, and Spark works on every mention of it
-    fold = let(table.literal(), lambda slots: merged(_byte_ids(F.col("piece")), table, slots))
+    # bound once: the array is long, and Spark looks it up at every mention
+    fold = let(F.col("slots"), lambda slots: merged(_byte_ids(F.col("piece")), table, slots))
     rows = batches.mapInArrow(look_up, kinds)  # the rows keep their order up to the next step of the task
-    rows = rows.withColumn("ids", F.when(F.col("piece").isNotNull(), fold)).drop("piece")
+    rows = rows.withColumn("slots", slots.scalar())
+    rows = rows.withColumn("ids", F.when(F.col("piece").isNotNull(), fold)).drop("piece", "slots")
     return rows.mapInArrow(finish, schema)
 
 

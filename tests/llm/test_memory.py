@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from rolescope.llm import ngram_lm, toxicity
+from rolescope.llm import byte_bpe, ngram_lm, toxicity
 from rolescope.llm import words as W
 
 
@@ -45,3 +45,14 @@ def test_word_features_keep_no_powers_for_the_whole_sample():
         tracemalloc.stop()
     # tables of two numbers a byte of text stayed with the process, the driver's too
     assert kept < len(w.data) / 4
+
+
+def test_bpe_plans_hold_no_rank_map(spark):
+    letters = [bytes([i]) for i in range(256)]
+    ranks = {t: i for i, t in enumerate([*letters, *(a + b for a in letters[64:128] for b in letters[64:128])])}
+    docs = spark.createDataFrame([(1, "ABBA BAAB"), (2, None), (3, "xyz ABC")], "doc_id long, text string")
+    out = byte_bpe.encode(docs, ranks, r"\S+|\s+")
+    assert len(out._jdf.queryExecution().toString()) < 60_000  # over 100,000 with the map of 4,096 pairs as a literal
+    got = {r.doc_id: r.ids for r in out.collect()}
+    assert got[1] == [ranks[t] for t in (b"AB", b"BA", b" ", b"BA", b"AB")] and not got[2]
+    assert got[3] == [ranks[t] for t in (b"xy", b"z", b" ", b"AB", b"C")]

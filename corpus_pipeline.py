@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rolescope.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, toxicity
 from rolescope.llm.columns import numbered
 from rolescope.llm.package import ship
-from rolescope.llm.queries import BATCH_ROWS, RANKS, fold
+from rolescope.llm.queries import RANKS, fold, hold_batches
 from rolescope.llm.store import stored
 
 
@@ -18,7 +18,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _ready(spark: SparkSession) -> None:
-    ship(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    hold_batches(ship(spark))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

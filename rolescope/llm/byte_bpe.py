@@ -41,6 +41,8 @@ Batches = Iterator[pa.RecordBatch]
 ROW_BYTES, LONG = 4 << 20, 48
 #: Pieces folded once for all batches, at most; how many of them pass the driver at a time.
 FREQUENT, SLICE = 1 << 20, 1 << 17
+#: Pieces whose bytes or ids are looked up at a time.
+SOME = 1 << 14
 #: Rank of a pair that does not merge, and an empty slot. A piece has at most 255 bytes where Spark folds it.
 NONE, EMPTY = 1 << 20, 1 << 62
 
@@ -199,12 +201,24 @@ def _taken(values: np.ndarray, ends: np.ndarray, order: np.ndarray) -> tuple[np.
     """Entries in another order, as ``_flat`` gives them; some at a time, as places take more than values."""
     size = np.diff(ends)[order]
     parts = [values[:0]]
-    for a in range(0, len(order), 1 << 15):
-        some = slice(a, a + (1 << 15))
+    for a in range(0, len(order), SOME):
+        some = slice(a, a + SOME)
         parts.append(values[W.runs(ends[order[some]], size[some])])
     return np.concatenate(parts), np.append(0, np.cumsum(size))
 
 
+def _known(own: np.ndarray, folded: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ids of the pieces with a length, from ``own`` and, behind it, ``folded``; some pieces at a time."""
+    there, parts = np.flatnonzero(lengths >= 0), [own[:0]]
+    for a in range(0, len(there), SOME):
+        some = there[a : a + SOME]
+        at = W.runs(start[some], lengths[some])
+        ids, behind = np.empty(len(at), np.int32), at >= len(own)
+        ids[~behind], ids[behind] = own[at[~behind]], folded[at[behind] - len(own)]
+        parts.append(ids)
+    return np.concatenate(parts)
+
+
 class Folded:
     """Pieces, as byte ids, with the ids they merge to, in order of their hashes."""
 
@@ -226,10 +240,14 @@ class Folded:
         self.ids, self.id_ends = _taken(ids, np.append(0, np.cumsum(id_size)), order)
 
     def find(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The number of each piece here; -1 for one that is not held."""
+        """The number of each piece here; -1 for one that is not held. Some at a time, as places take more than bytes."""
+        if not len(self.hashes):
+            return np.full(len(ends) - 1, -1)
+        parts = [self._find(data, ends[a : min(a + SOME, len(ends) - 1) + 1]) for a in range(0, len(ends) - 1, SOME)]
+        return np.concatenate([np.zeros(0, np.int64), *parts])
+
+    def _find(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         found = np.full(len(ends) - 1, -1)
-        if not len(self.hashes) or not len(found):
-            return found
         hashes, size = _hashes(data, ends), np.diff(ends)
         slot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         hit = np.flatnonzero((self.hashes[slot] == hashes) & (self.ends[slot + 1] - self.ends[slot] == size))
@@ -340,13 +358,12 @@ def _encoded(
                 number = folded.find(data, ends)
                 hit = number >= 0
                 own, own_ends = _flat(whole.drop_null())
-                ids = np.concatenate([own, folded.ids])
+                # places in the batch's own ids, then, behind those, in the folded ones
                 start = np.empty(len(lengths), dtype=np.int64)
                 start[lengths >= 0] = own_ends[:-1]
                 start[waiting[hit]] = folded.id_ends[number[hit]] + len(own)
                 lengths[waiting[hit]] = folded.id_ends[number[hit] + 1] - folded.id_ends[number[hit]]
-                there = lengths >= 0
-                known = ids[W.runs(start[there], lengths[there])].astype(np.int32)
+                known = _known(own.astype(np.int32), folded.ids, start, lengths)
                 left = short.filter(pa.array(~hit))
                 n, none = len(left), pa.nulls
                 head = [batch[c].slice(i, 1) for c in ("docs", "ends", "codes")]

@@ -27,6 +27,8 @@ from .store import stored
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Arrow batches of this many rows keep long texts from piling up in a task.
 BATCH_ROWS = "2000"
+#: And of this many bytes at most, but for a longer row: a row may hold the pieces of some MB of text.
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -135,11 +137,17 @@ def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.link_groups(table(spark, folder, "documents"))
 
 
+def hold_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows and bytes, for the session: a batch is held on both sides of a Python worker's pipe."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def _held(query):
-    """Runs a query with Arrow batches of few rows, set for the session."""
+    """Runs a query with Arrow batches of few rows and bytes."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        hold_batches(spark)
         return query(spark, folder)
 
     return run

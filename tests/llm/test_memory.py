@@ -5,7 +5,9 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from rolescope.llm import byte_bpe, ngram_lm, toxicity
+from pyspark.sql import functions as F
+
+from rolescope.llm import byte_bpe, ngram_lm, queries, toxicity
 from rolescope.llm import words as W
 
 
@@ -56,3 +58,38 @@ def test_bpe_plans_hold_no_rank_map(spark):
     got = {r.doc_id: r.ids for r in out.collect()}
     assert got[1] == [ranks[t] for t in (b"AB", b"BA", b" ", b"B", b"AA", b"B")] and not got[2]  # AA ranks before AB
     assert got[3] == [ranks[t] for t in (b"xy", b"z", b" ", b"AB", b"C")]
+
+
+def test_arrow_batches_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([batch.num_rows]), "size": pa.array([batch.nbytes])})
+
+    def query(spark, folder):
+        rows = spark.range(0, 40, 1, 1).select("id", F.repeat(F.lit("x"), 1 << 20).alias("text"))
+        return rows.mapInArrow(sizes, "rows long, size long")
+
+    got = queries._held(query)(spark, "").collect()
+    assert sum(r.rows for r in got) == 40
+    assert max(r.size for r in got) < 6 << 20  # one batch of 40 MB with a bound on rows alone
+
+
+def test_pieces_are_looked_up_some_at_a_time():
+    pieces = [b"%08d" % i for i in range(100_000)]
+    ids = [[i, i % 7, 3][: 1 + i % 3] for i in range(100_000)]
+    folded = byte_bpe.Folded(
+        [pa.table({"piece": pa.array(pieces, pa.binary()), "ids": pa.array(ids, pa.list_(pa.int32()))})]
+    )
+    asked = pieces[::-1] + [b"none", b""]
+    data, ends = byte_bpe._flat(pa.array(asked, pa.binary()))
+    W.powers(1 << 17)  # kept from then on
+    most, number = _peak(lambda: folded.find(data, ends))
+    assert most < 12 * len(data)  # 25 times the pieces' bytes when all were looked up at once
+    assert number[-2:].tolist() == [-1, -1]
+    own, lengths = np.array([70, 71, 72], np.int32), np.array([2, -1, 1, *np.diff(folded.id_ends)[number[:-2]]])
+    start = np.array([0, 0, 2, *(folded.id_ends[number[:-2]] + len(own))])
+    known = byte_bpe._known(own, folded.ids, start, lengths)
+    assert known.tolist() == [70, 71, 72, *(x for i in ids[::-1] for x in i)]
+    assert not len(byte_bpe._known(own[:0], own[:0], start[:0], lengths[:0]))
+    none = byte_bpe.Folded([])
+    assert none.find(data, ends).tolist() == [-1] * len(asked) and not len(folded.find(data[:0], ends[:1]))
